@@ -37,6 +37,10 @@ _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: For bare words: ASCII bytes other than letters and digits separate as well.
+_MARKS = _SPACE.copy()
+_MARKS[[c for c in range(128) if not chr(c).isalnum()]] = True
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -65,7 +69,7 @@ class Words:
 
     __slots__ = ("data", "ends", "first", "hashes", "starts")
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, bare: bool = False):
         column = column.cast(pa.large_binary())
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
@@ -74,7 +78,7 @@ class Words:
         data = np.frombuffer(body, dtype=np.uint8)[lo:hi] if body is not None and hi > lo else np.zeros(0, np.uint8)
         offsets = offsets - lo
         size = hi - lo
-        space = _SPACE[data]
+        space = (_MARKS if bare else _SPACE)[data]
         edge = np.zeros(size + 1, dtype=bool)
         edge[offsets] = True
         begins = ~space
