@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import language_query
+from .licences import licences_sql, scan_licences
 from .mixing import mix_sources, mix_sql
 from .neighbours import nearest, nearest_sql
 from .ngram_join import ngram_join
 from .page_text import page_texts
 from .pieces import piece_query
+from .spotsigs import fingerprint_query
 from .substring_dedup import substring_digest
 from .toxicity import toxicity_query
 
@@ -29,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_query(_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(_table(spark, sf_dir, "pages"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_query(_table(spark, sf_dir, "documents"))
 
@@ -54,9 +64,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_join, op2_toxicity, op4_language, op5_mixing, op6_page_text, op8_pieces, op9_neighbours, op10_substring_dedup)
+    every = (op1_ngram_join, op2_toxicity, op3_fingerprints, op4_language, op5_mixing, op6_page_text, op7_licences, op8_pieces, op9_neighbours, op10_substring_dedup)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mix_sql(), "op9_neighbours": nearest_sql()}
+    return {"op5_mixing": mix_sql(), "op7_licences": licences_sql(), "op9_neighbours": nearest_sql()}
