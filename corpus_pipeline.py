@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of linked documents.
 
-    Of rows that share a doc_id one stays; rows without doc_id and documents without
-    words are linked with nothing and stay.
+    Rows that share a doc_id stay or go together; rows without doc_id and documents
+    without words are linked with nothing and stay.
     """
     found = ngram_join(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
