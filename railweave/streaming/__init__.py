@@ -1,0 +1 @@
+"""Empty on purpose: timetables are batch inputs, and no operator here streams."""
