@@ -17,6 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh(base: str, taken: list[str]) -> str:
+    """base, with underscores before it until no column has that name."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base = f"_{base}"
+    return base
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage."""
     spark = df.sparkSession
