@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm.frames import written
+from railweave.llm.frames import fresh, written
 from railweave.llm.mixing import mix_sources
 from railweave.llm.ngram_join import ngram_join
 from railweave.llm.pieces import encode_texts
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = docs.columns
-    scored = toxicity(docs, learn(docs, labels), keep=True)
-    return scored.filter(F.col("score") < THRESHOLD).select(*names)
+    score = fresh("score", names)
+    scored = toxicity(docs, learn(docs, labels), keep=True, name=score)
+    return scored.filter(F.col(score) < THRESHOLD).select(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..frames import components, forget, written
+from ..frames import components, forget, fresh, written
 
-__all__ = ["components", "forget", "in_groups", "written"]
+__all__ = ["components", "forget", "fresh", "in_groups", "written"]
 
 
 def in_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, by: list[str] | None = None) -> DataFrame:

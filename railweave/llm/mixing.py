@@ -49,22 +49,23 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """docs repeated by source, with mix_copy and mix_key, in global hash order."""
     spark = docs.sparkSession
     docs = docs.drop("mix_copy", "mix_key")
-    n = docs.groupBy(F.col("source").alias("mix_source")).agg(F.count("*").alias("mix_n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    source, doc_id = F.col("row.source"), F.col("row.doc_id").cast("string")
+    n = rows.groupBy(source.alias("of")).agg(F.count("*").alias("n"))
     if weights is not None:
-        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "mix_given string, mix_weight double")
-        n = n.join(given, F.col("mix_source").eqNullSafe(F.col("mix_given")))
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "given string, weight double")
+        n = n.join(given, F.col("of").eqNullSafe(F.col("given")))
     else:
-        n = n.withColumn("mix_weight", F.lit(1.0))
-    total = n.agg(F.sum("mix_weight").alias("mix_weights"))
-    every = docs.agg(F.count("*").alias("mix_all"))
+        n = n.withColumn("weight", F.lit(1.0))
+    total = n.agg(F.sum("weight").alias("weights"))
+    every = rows.agg(F.count("*").alias("every"))
     # One row a source, and 1 x 1 totals: all of them bounded by the number of sources.
-    means = n.crossJoin(total).crossJoin(every).select("mix_source", (F.col("mix_weight") * F.col("mix_all") / (F.col("mix_weights") * F.col("mix_n"))).alias("mix_mean"))
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.join(means, docs["source"].eqNullSafe(means["mix_source"]))
-    counts = rows.withColumn("mix_n", poisson_count(F.col("mix_mean"), key)).filter("mix_n > 0")
-    copies = counts.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+    means = n.crossJoin(total).crossJoin(every).select("of", (F.col("weight") * F.col("every") / (F.col("weights") * F.col("n"))).alias("mean"))
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id, F.lit("null")))
+    counts = rows.join(means, source.eqNullSafe(F.col("of"))).select("row", poisson_count(F.col("mean"), key).alias("copies")).filter("copies > 0")
+    copies = counts.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", key, F.lit("order"), F.col("mix_copy").cast("string"))))
-    return copies.select(*docs.columns, "mix_copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    return copies.select("row.*", "mix_copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
 
 
 def mix_sql(seed: str = "mix") -> str:

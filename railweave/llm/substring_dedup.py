@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import in_groups
+from .frames import fresh, in_groups
 from .text import Words, mix, slices, texts
 
 ANCHOR = 16
@@ -222,10 +222,10 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
     return in_groups(chosen, ["bucket"], group, _RANGE)
 
 
-def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+def _cut(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """Of each row: number of words, which of them stay, and the words."""
     column = texts(batch)
-    gone = batch.column(batch.schema.get_field_index("gone")).to_pylist()
+    gone = batch.column(batch.schema.get_field_index(ranges)).to_pylist()
     for a, b in slices(column):
         w = Words(column.slice(a, b - a))
         data = w.data.tobytes()
@@ -238,9 +238,11 @@ def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[bytes]]]
             yield hi - lo, stay, [data[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
 
 
-def _with_ranges(docs: DataFrame, width: int) -> DataFrame:
-    found = repeated_ranges(docs, width).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return docs.join(found, docs["doc_id"] == found["gone_id"], "left").drop("gone_id")
+def _with_ranges(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """docs with the ranges to remove in a column of the name that is returned."""
+    key, ranges = fresh("gone_id", docs.columns), fresh("gone", docs.columns)
+    found = repeated_ranges(docs, width).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
+    return docs.join(found, docs["doc_id"] == found[key], "left").drop(key), ranges
 
 
 def substring_digest(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -249,14 +251,15 @@ def substring_digest(docs: DataFrame, width: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, sha = [], [], []
-            for words, stay, kept in _cut(batch):
+            for words, stay, kept in _cut(batch, ranges):
                 n.append(words)
                 removed.append(words - int(stay.sum()))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_ranges(docs, width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, ranges = _with_ranges(docs, width)
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -270,7 +273,7 @@ def strip_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            new = [b" ".join(kept).decode() if not stay.all() else t for t, (_, stay, kept) in zip(old, _cut(batch), strict=True)]
+            new = [b" ".join(kept).decode() if not stay.all() else t for t, (_, stay, kept) in zip(old, _cut(batch, ranges), strict=True)]
             cols = []
             for c in names:
                 col = batch.column(batch.schema.get_field_index(c))
@@ -281,4 +284,5 @@ def strip_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _with_ranges(docs, width).mapInArrow(run, schema)
+    rows, ranges = _with_ranges(docs, width)
+    return rows.mapInArrow(run, schema)

@@ -130,10 +130,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(doc, np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, np.int64), np.array(got.column("toxic").to_pylist(), dtype=float))
 
 
-def toxicity(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
-    """docs(doc_id, text) with score (0 to 1); keep: all columns of docs stay, else doc_id and score."""
+def toxicity(docs: DataFrame, machine: Machine, keep: bool = False, name: str = "score") -> DataFrame:
+    """docs(doc_id, text) with score (0 to 1); keep: all columns of docs stay, else doc_id and score.
+
+    name: of the score's column, which replaces one of docs.
+    """
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     docs = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = [c for c in docs.columns if keep or c != "text"]
 
@@ -144,10 +147,10 @@ def toxicity(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame
             for a, b in slices(column):
                 p = model.scores(*_terms(column.slice(a, b - a)), b - a)
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), pa.array(p)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in names), pa.array(p)], names=[*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
