@@ -2,13 +2,13 @@
 
 A text is cut into words at the word mark; of each distinct word, substrings up
 to the longest piece are joined to the piece table, which gives the edges of its
-lattice, and a fold over the word's positions keeps the best edge into each.  For
+lattice, and a fold over its positions keeps the best path.  For
 unigram models "best" is the highest sum of scores (Viterbi).  The scores of BPE
 models are merge ranks, and their highest sum is *not* the library's result.
 There the fold admits an edge only behind the edge whose piece it would not have
 been merged with: a sequence of pieces is the BPE result exactly if each pair of
-neighbours is the BPE result of the two joined.  Such a path is unique, so the
-fold keeps one edge per position.  Runs of word marks, whose pieces share one
+neighbours is the BPE result of the two joined.  Such a path is unique; the fold
+tries long edges first and leaves a position for good when no edge fits.  Runs of word marks, whose pieces share one
 score, are merged directly.
 
 Lattices live in each Python worker: a bounded memory of words, filled as words
@@ -60,6 +60,7 @@ class Pieces:
         #: Whether BPE keeps a piece as its own behind another ("": at a word's start).
         self.pairs: dict[str, dict[str, bool]] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -98,48 +99,69 @@ class Pieces:
                     heappush(heap, (-scores[i], x, part[x], part[after[x]]))
         return [p for p in part if p]
 
+    def edges(self, word: str, i: int) -> list[int]:
+        """Ends of the lattice's edges from position i, shortest first."""
+        starts, out = self.starts, []
+        for j in range(i + 1, len(word) + 1):
+            k = starts.get(word[i:j])  # None: no piece starts so; -1: only longer pieces do
+            if k is None:
+                break
+            if k >= 0:
+                out.append(j)
+        if not out or out[0] != i + 1:
+            out.insert(0, i + 1)  # a character without a piece
+        return out
+
     def fold(self, word: str) -> list[str]:
         """Pieces of one word: the path that the fold over its lattice leaves."""
-        n, starts, scores = len(word), self.starts, self.scores
-        if self.bpe and (MARK * 2 in word or n > LONGEST):
+        if not self.bpe:
+            return self.best(word)
+        if MARK * 2 in word or len(word) > LONGEST:
             return self.merged(word)
-        into: list = [None] * (n + 1)  # start and piece of the edge kept into each position
-        cost = [0.0] + [float("-inf")] * n
-        bpe, pairs = self.bpe, self.pairs
-        for i in range(n):
-            kept = into[i]
-            if kept is None and i:
-                continue
-            last = kept[1] if kept else ""
+        # A valid path to a position is the BPE result of what lies before it, so a
+        # position from which no edge fits lies on no path and is left for good.
+        n, i, last, pairs = len(word), 0, "", self.pairs
+        path: list[tuple[int, str, list[int]]] = []
+        ends, dead = self.edges(word, 0), set()
+        while i < n:
             known = pairs.get(last)
             if known is None:
                 known = pairs[last] = {}
-            for j in range(i + 1, n + 1):
+            while ends:
+                j = ends.pop()
+                if j in dead:
+                    continue
                 p = word[i:j]
-                k = starts.get(p)  # None: no piece starts so; -1: only longer pieces do
-                if k is None or k < 0:
-                    if j == i + 1 and bpe:
-                        if into[j] is None:
-                            into[j] = (i, p)
-                    elif j == i + 1 and cost[i] + self.lowest > cost[j]:
-                        into[j], cost[j] = (i, p), cost[i] + self.lowest
-                    if k is None:
-                        break
-                elif bpe:
-                    if into[j] is None:
-                        ok = known.get(p)
-                        if ok is None:
-                            ok = known[p] = self.merged(last + p) == ([last, p] if last else [p])
-                        if ok:
-                            into[j] = (i, p)
-                elif cost[i] + scores[k] > cost[j]:
-                    into[j], cost[j] = (i, p), cost[i] + scores[k]
+                ok = known.get(p)
+                if ok is None:
+                    ok = known[p] = self.merged(last + p) == ([last, p] if last else [p])
+                if ok:
+                    path.append((i, last, ends))
+                    i, last = j, p
+                    ends = self.edges(word, i) if i < n else []
+                    break
+            else:
+                if not path:
+                    return self.merged(word)
+                dead.add(i)
+                i, last, ends = path.pop()
+        return [p for _, p, _ in path[1:]] + ([last] if n else [])
+
+    def best(self, word: str) -> list[str]:
+        """Viterbi: the path with the highest sum of scores."""
+        n = len(word)
+        into: list = [None] * (n + 1)
+        cost = [0.0] + [float("-inf")] * n
+        for i in range(n):
+            for j in self.edges(word, i):
+                k = self.table.get(word[i:j])
+                c = cost[i] + (self.lowest if k is None else self.scores[k])
+                if c > cost[j]:
+                    into[j], cost[j] = i, c
         out, j = [], n
         while j > 0:
-            if into[j] is None:
-                return self.merged(word)
-            out.append(into[j][1])
-            j = into[j][0]
+            out.append(word[into[j] : j])
+            j = into[j]
         return out[::-1]
 
     def ids(self, word: str) -> bytes:
@@ -160,16 +182,21 @@ class Pieces:
             return b""
         memory = self.words
         if len(memory) > MEMORY:
-            memory.clear()
-            self.pairs.clear()
+            # Words seen since the last turn stay within reach for one more.
+            self.older, self.words = memory, {}
+            memory = self.words
+            if sum(map(len, self.pairs.values())) > MEMORY:
+                self.pairs.clear()
         words = _WORDS.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
-        out = [memory.get(w) for w in words]
-        for k, x in enumerate(out):
-            if x is None:
-                w = words[k]
-                out[k] = x = memory.get(w) or self.ids(w)
-                if len(w) <= LONGEST:
-                    memory[w] = x
+        out = list(map(memory.get, words))
+        if None in out:
+            older = self.older
+            for k, x in enumerate(out):
+                if x is None:
+                    w = words[k]
+                    out[k] = x = memory.get(w) or older.get(w) or self.ids(w)
+                    if len(w) <= LONGEST:
+                        memory[w] = x
         return b"".join(out)
 
     def decode(self, ids: bytes | list[int]) -> str:
