@@ -286,3 +286,22 @@ def strip_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     rows, ranges = _with_ranges(docs, width)
     return rows.mapInArrow(run, schema)
+
+
+def substring_sql() -> str:
+    """DuckDB SQL for substring_digest() with 50 words over the table documents."""
+    return """
+WITH words AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM words WHERE len(w) >= 50)
+), gone AS (
+    SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS first FROM windows) WHERE first < doc_id
+), each AS (
+    SELECT e.doc_id, e.j, e.word, max(g.k) OVER (PARTITION BY e.doc_id ORDER BY e.j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS out
+    FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM words) e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.k = e.j
+), kept AS (
+    SELECT doc_id, count(*) FILTER (out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT out), '') AS text FROM each GROUP BY doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id"""
