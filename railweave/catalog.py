@@ -14,6 +14,7 @@ from .operators import chains as ch
 from .operators import network as nw
 from .operators import selection as sel
 from .operators import stations as st
+from .plans import legs as lg
 from .plans import rounds
 from .rules import MODES, Include, Rules, Selection
 
@@ -507,6 +508,66 @@ def next_departures(spark, sf_dir):
     return rounds.next_departures(lens_network(spark, sf_dir).connections, asks)
 
 
+# ---- plans as rows ------------------------------------------------------------------
+
+P_HOPS = Fixture("trip_id string, pos int, dep_station int, arr_station int, dep int, arr int, visit_dep boolean, visit_arr boolean", [("A", 0, 0, 1, 100, 200, True, True), ("A", 1, 1, 2, 210, 300, True, False), ("B", 0, 2, 3, 400, 500, True, True), ("C", 0, 4, 0, 590, 700, False, True), ("D", 0, 0, 1, 730, 800, True, True)])
+P_LEGS = Fixture("plan int, leg int, kind string, trip_id string, from_pos int, to_pos int, start int, end int, metres double", [(1, 0, "ride", "A", 0, 1, None, None, None), (1, 1, "ride", "B", 0, 0, None, None, None), (1, 2, "walk", None, None, None, 500, 560, 50.25), (1, 3, "ride", "C", 0, 0, None, None, None), (1, 4, "ride", "D", 0, 0, None, None, None), (2, 0, "ride", "B", 0, 0, None, None, None)])
+P_CHANGE = Fixture("station int, seconds int", [(s, 60) for s in range(5)])
+P_TARGETS = Fixture("station int", [(0,), (1,), (3,)])
+_PLAN_SQL = f"WITH {P_HOPS.sql('h')}, {P_LEGS.sql('l')}, {P_CHANGE.sql('c')}, {P_TARGETS.sql('g')}, hop AS (SELECT l.plan, l.leg, h.*, l.from_pos FROM l JOIN h ON l.trip_id = h.trip_id AND h.pos BETWEEN l.from_pos AND l.to_pos), v AS (SELECT plan, station, min(moment) AS visit FROM (SELECT plan, dep_station AS station, dep AS moment FROM hop WHERE visit_dep AND pos = from_pos UNION ALL SELECT plan, arr_station, arr FROM hop WHERE visit_arr) GROUP BY plan, station)"
+
+
+@query(_PLAN_SQL + " SELECT * FROM v")
+def plan_visits(spark, sf_dir):
+    return lg.plan_visits(P_LEGS.frame(spark), P_HOPS.frame(spark))
+
+
+@query(_PLAN_SQL + " SELECT plan, min(visit) AS first, max(visit) AS last, max(visit) - min(visit) AS seconds FROM v JOIN g USING (station) GROUP BY plan HAVING count(*) = 3")
+def plan_duration(spark, sf_dir):
+    return lg.plan_duration(plan_visits(spark, sf_dir), P_TARGETS.frame(spark))
+
+
+_SLACK_SQL = "SELECT * FROM (VALUES (1, 1, 2, false, 40), (1, 3, 4, true, 30), (1, 4, 0, false, -30)) t(plan, leg, station, walked, slack)"
+
+
+@query(_SLACK_SQL)
+def transfer_slacks(spark, sf_dir):
+    return lg.transfer_slacks(P_LEGS.frame(spark), P_HOPS.frame(spark), P_CHANGE.frame(spark))
+
+
+@query(_SLACK_SQL + " WHERE slack < 35")
+def tight_changes(spark, sf_dir):
+    return transfer_slacks(spark, sf_dir).filter("slack < 35")
+
+
+@query(_PLAN_SQL + " SELECT plan, greatest(0, count(*) FILTER (kind = 'ride') - 1)::BIGINT AS transfers, round(coalesce(sum(metres), 0), 1) AS walk_m, (SELECT count(*) FROM v WHERE v.plan = l.plan) AS stations_visited FROM l GROUP BY plan")
+def itinerary_summary(spark, sf_dir):
+    return lg.summary(P_LEGS.frame(spark), plan_visits(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES ('P', 'P', 'a'), ('PB', 'New', 'b'), ('Q', 'Q', 'c,d')) t(id, name, members)")
+def cluster_overrides(spark, sf_dir):
+    base = [{"id": "P", "name": "P", "members": ["a", "b"]}, {"id": "Q", "name": "Q", "members": ["c"]}, {"id": "R", "name": "R", "members": ["d"]}]
+    out = st.apply_overrides(base, {"split": [{"stops": ["b"], "id": "PB"}], "merge": [{"stations": ["Q", "R"]}], "rename": [{"station": "PB", "name": "New"}]})
+    return spark.createDataFrame([(s["id"], s["name"], ",".join(s["members"])) for s in out], "id string, name string, members string")
+
+
+@query(f"WITH {lens.CALLS_SQL} SELECT DISTINCT trip_id FROM lens_calls WHERE arrival >= 79200")
+def late_trips(spark, sf_dir):
+    """Trips that still run at 22:00."""
+    return lens.calls(spark, sf_dir, None).groupBy("trip_id").agg(F.max("arrival").alias("m")).filter("m >= 79200").select("trip_id")
+
+
+@query(f"WITH RECURSIVE {_BLOCKS}, k AS (SELECT trip_id FROM trips WHERE trip_id LIKE '1%' UNION SELECT b.trip_id FROM k JOIN trips a ON a.trip_id = k.trip_id JOIN trips b ON b.block_id = a.block_id AND b.service_date = a.service_date) SELECT trip_id FROM k")
+def pack_closure(spark, sf_dir):
+    """Trips of users 1..., with all trips of their vehicles that day."""
+    from .pack import closure
+
+    t = _trips(spark, sf_dir).select("trip_id", F.concat_ws("/", "service_date", "block_id").alias("block_id"))
+    none = spark.createDataFrame([], "trip_id string, next_trip string")
+    return closure(t, t.filter("trip_id like '1%'"), none)
+
+
 # ---- searches, without SQL ---------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import written
 from .functions.names import display_name
 from .operators import chains
 from .operators.calendar import active_on, service_days
@@ -44,31 +45,34 @@ def prepare(spark: SparkSession, data: bytes, rules: Rules, selection: Selection
     feed = load_feed(spark, data)
     t = feed.tables
     stations, stop_station = cluster(t["stops"])
-    stations, stop_station = stations.cache(), stop_station.cache()
+    stations, stop_station = written(stations), written(stop_station)
     routes = t["routes"].withColumn("route", display_name(F.col("route_short_name"), F.col("route_long_name")))
     ranges = visit_route_types(routes, selection)
-    trips = t["trips"].filter("not is_template").join(routes.select("route_id", "route_type", "route"), "route_id").cache()
-    latest = t["stop_times"].agg(F.max("arrival").alias("m")).first().m or 0
+    trips = written(t["trips"].filter("not is_template").join(routes.select("route_id", "route_type", "route"), "route_id"))
+    timetable = t["stop_times"] = written(t["stop_times"])
+    latest = timetable.agg(F.max("arrival").alias("m")).first().m or 0
     start, end = rules.window
     days = service_days(date.fromisoformat(rules.date), feed.zone, latest, start, end)
     table = spark.createDataFrame([(d, off) for d, off in days], "date date, offset int")
-    active = active_on(t["calendar"], t["calendar_dates"], table.select("date")).cache()
+    active = written(active_on(t["calendar"], t["calendar_dates"], table.select("date")))
     # A handful of service days: each trip runs on those its service does.
     runs = trips.join(active, "service_id").join(F.broadcast(table), "date")
-    calls = t["stop_times"].join(stop_station.select("stop_id", "station"), "stop_id").join(runs.select(F.col("trip_id"), "date", "offset", "route_id", "route_type"), "trip_id")
-    calls = calls.select(F.concat_ws("|", "trip_id", "date").alias("trip_id"), F.col("trip_id").alias("gtfs_id"), F.col("date").alias("service_date"), "offset", "seq", "stop_id", "station", (F.col("arrival") + F.col("offset")).cast("int").alias("arrival"), (F.col("departure") + F.col("offset")).cast("int").alias("departure"), "pickup_type", "drop_off_type", "route_id", "route_type").cache()
-    targets = select_targets(calls, routes, stations, selection).cache()
+    calls = timetable.join(stop_station.select("stop_id", "station"), "stop_id").join(runs.select(F.col("trip_id"), "date", "offset", "route_id", "route_type"), "trip_id")
+    calls = calls.select(F.concat_ws("|", "trip_id", "date").alias("trip_id"), F.col("trip_id").alias("gtfs_id"), F.col("date").alias("service_date"), "offset", "seq", "stop_id", "station", (F.col("arrival") + F.col("offset")).cast("int").alias("arrival"), (F.col("departure") + F.col("offset")).cast("int").alias("departure"), "pickup_type", "drop_off_type", "route_id", "route_type")
+    calls = written(calls)
+    targets = written(select_targets(calls, routes, stations, selection))
     known = stop_station.select("stop_id", "station")
     moves = t["transfers"].filter("from_route_id is null and to_route_id is null and from_trip_id is null and to_trip_id is null and transfer_type in (2, 3)")
     moves = moves.join(known.select(F.col("stop_id").alias("from_stop_id"), F.col("station").alias("from_station")), "from_stop_id").join(known.select(F.col("stop_id").alias("to_stop_id"), F.col("station").alias("to_station")), "to_stop_id").select("from_station", "to_station", "transfer_type", "min_transfer_time")
     network = build(calls, stations, targets, rules, ranges, transfers=moves)
+    network.connections, network.footpaths, network.change_time = (written(x) for x in (network.connections, network.footpaths, network.change_time))
     return Basis(feed, hashlib.sha256(data).hexdigest(), stations, stop_station, calls, trips, targets, ranges, active, network)
 
 
 def context(spark: SparkSession, b: Basis, rules: Rules | None = None) -> Context:
     """What the verifier checks against: the raw timetable, not the network."""
     t = b.feed.tables
-    stops = t["stops"].join(b.stop_station, "stop_id").join(b.stations.select("station", "station_id"), "station").select("stop_id", "parent_station", "station_id")
+    stops = written(t["stops"].join(b.stop_station, "stop_id").join(b.stations.select("station", "station_id"), "station").select("stop_id", "parent_station", "station_id"))
     per = t["stop_times"].groupBy("trip_id").agg(F.min_by("departure", "seq").alias("first_dep"), F.max_by("arrival", "seq").alias("last_arr"), F.min_by("stop_id", "seq").alias("a"), F.max_by("stop_id", "seq").alias("z"), F.count("*").alias("calls"))
     at = stops.select("stop_id", "station_id")
     per = per.join(at.select(F.col("stop_id").alias("a"), F.col("station_id").alias("first_station")), "a").join(at.select(F.col("stop_id").alias("z"), F.col("station_id").alias("last_station")), "z")
@@ -76,7 +80,7 @@ def context(spark: SparkSession, b: Basis, rules: Rules | None = None) -> Contex
     keyed = runs.select(F.concat_ws("|", "trip_id", "date").alias("trip_id"), "service_date", "block_id", "first_dep", "last_arr", "first_station", "last_station", F.col("route_type").isin([r[0] for r in b.visit_ranges]).alias("visits"), "calls")
     moves = t["transfers"].filter("from_trip_id is not null and to_trip_id is not null").join(b.active.select("date").distinct())
     pair = lambda kind: moves.filter(F.col("transfer_type") == kind).select(F.concat_ws("|", "from_trip_id", "date").alias("trip_id"), F.concat_ws("|", "to_trip_id", "date").alias("next_trip"))
-    seat = chains.continuations(keyed, pair(4), pair(5)).select(F.split("trip_id", "\\|")[0].alias("trip_id"), F.split("next_trip", "\\|")[0].alias("next_trip"), F.split("trip_id", "\\|")[1].cast("date").alias("date"))
+    seat = written(chains.continuations(keyed, pair(4), pair(5)).select(F.split("trip_id", "\\|")[0].alias("trip_id"), F.split("next_trip", "\\|")[0].alias("next_trip"), F.split("trip_id", "\\|")[1].cast("date").alias("date")))
     walks = spark.createDataFrame([], "entry int, from string, to string, seconds int, forbid boolean, both boolean")
     targets = sorted(r.station_id for r in b.targets.join(b.stations, "station").select("station_id").collect())
     expected = json.dumps(asdict(rules)) if rules else None
@@ -100,7 +104,7 @@ def solve(spark: SparkSession, data: bytes, rules: Rules, selection: Selection,
         starts = [r.station for r in b.stations.filter(F.col("station_id") == rules.start).select("station").collect()]
     else:
         starts = net.targets
-    runs = greedy_runs(greedy_jobs(spark, starts, list(range(start, end, step))), net).cache()
+    runs = written(greedy_runs(greedy_jobs(spark, starts, list(range(start, end, step))), net))
     best = best_run(runs).first()
     if best is None:
         return {"feasible": False, "unserved": []}

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import written
 from ..functions.clock import parse_clock
 from ..functions.geo import haversine
 from ..functions.names import in_ranges
@@ -265,6 +266,6 @@ def final_rules(rows: DataFrame, legs: DataFrame, ctx: Context) -> tuple[DataFra
 def verify(itineraries: DataFrame, ctx: Context) -> tuple[DataFrame, DataFrame]:
     """(violations, outcome) of itineraries(itinerary_id, json)."""
     rows = parse(itineraries, ctx)
-    legs = resolved(rows, ctx)
+    legs = written(resolved(rows, ctx))
     ends, outcome = final_rules(rows, legs, ctx)
     return header_rules(rows, ctx).unionByName(leg_rules(legs, ctx)).unionByName(ends), outcome
