@@ -11,11 +11,11 @@ from .language import language_query
 from .licences import licences_sql, scan_licences
 from .mixing import mix_sources, mix_sql
 from .neighbours import nearest, nearest_sql
-from .ngram_join import ngram_join
+from .ngram_join import ngram_join, ngram_sql
 from .page_text import page_texts
 from .pieces import piece_query
 from .spotsigs import fingerprint_query
-from .substring_dedup import substring_digest
+from .substring_dedup import substring_digest, substring_sql
 from .toxicity import toxicity_query
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mix_sql(), "op7_licences": licences_sql(), "op9_neighbours": nearest_sql()}
+    return {"op1_ngram_join": ngram_sql(), "op10_substring_dedup": substring_sql(), "op5_mixing": mix_sql(), "op7_licences": licences_sql(), "op9_neighbours": nearest_sql()}

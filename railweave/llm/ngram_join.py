@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents are sets of word shingles.  Similar sets are put into groups (equal
-least mixed hash, in blocks of bounded size); the matrix holds, for each group,
+Documents are sets of word shingles.  Similar sets are put into groups (by their
+rarest frequent token, or without one their least-hashed token, in blocks of
+bounded size), so that many versions of one text fall into few groups although
+each has tokens of its own; the matrix holds, for each group,
 the union of its members' tokens.  For a set Q the overlap with any member is at
 most its overlap with the union, so only groups whose bound reaches the needed
 overlap are opened and their members compared exactly.
@@ -77,8 +79,8 @@ def _linked(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return 1000 * both >= t * (len(a) + len(b) - both)
 
 
-def _frequent(docs: DataFrame, width: int, least: int = 3, total: int = 8) -> np.ndarray:
-    """The most frequent tokens by partition counts (those found `least` times in one chunk)."""
+def _frequent(docs: DataFrame, width: int, least: int = 3, total: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens by partition counts (those found `least` times in one chunk), and their ranks, rarest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -91,7 +93,7 @@ def _frequent(docs: DataFrame, width: int, least: int = 3, total: int = 8) -> np
             for s in shingles(texts(batch), width):
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -99,14 +101,16 @@ def _frequent(docs: DataFrame, width: int, least: int = 3, total: int = 8) -> np
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= total)
     rows = found.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+    tokens = rows.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - order).astype(np.int32)
 
 
 def _sets(docs: DataFrame, width: int, similarity: float, frequent, prefix: bool) -> DataFrame:
-    """(doc_id, n, k1, k2[, family, tokens]): size, 128-bit key, least mixed hash and ordered prefix of each set."""
+    """(doc_id, n, k1, k2[, family, tokens]): size, 128-bit key, group key and ordered prefix of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value if prefix else None
+        common, ranks = frequent.value if prefix else (None, None)
         for batch in batches:
             sets = shingles(texts(batch), width)
             n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -115,13 +119,16 @@ def _sets(docs: DataFrame, width: int, similarity: float, frequent, prefix: bool
                 k1.append(int(mix(s, 1).sum(dtype=np.uint64)))
                 k2.append(int(mix(s, 2).sum(dtype=np.uint64)))
                 if prefix:
-                    family.append(int(mix(s, 3).min()) if len(s) else 0)
+                    least = s
                     m = int(_reach(len(s), similarity)[0])
                     if len(common) and len(s):
                         at = np.searchsorted(common, s)
                         at[at == len(common)] = 0
                         hot = common[at] == s
-                        s = np.concatenate([s[~hot], s[hot]])
+                        s = np.concatenate([s[~hot], s[hot][np.argsort(ranks[at[hot]], kind="stable")]])
+                        if hot.any():
+                            least = s[len(s) - int(hot.sum()) :][:1]
+                    family.append(int(mix(least, 3).min()) if len(least) else 0)
                     tokens.append(s[:m].tobytes())
             cols = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n), pa.array(np.array(k1, dtype=np.uint64).view(np.int64)), pa.array(np.array(k2, dtype=np.uint64).view(np.int64))]
             names = ["doc_id", "n", "k1", "k2"]
@@ -188,15 +195,15 @@ def _within(similarity: float):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = table.column("doc_id").to_pylist()
         sets = {d: np.frombuffer(t, dtype=np.uint64) for d, t in zip(ids, table.column("tokens").to_pylist(), strict=True)}
-        order, union, edges = sorted(sets, key=lambda d: (len(sets[d]), d)), _Union(), []
+        order, union = sorted(sets, key=lambda d: (len(sets[d]), d)), _Union()
         for i, a in enumerate(order):
             for b in order[:i][::-1]:
                 if 1000 * len(sets[b]) < round(similarity * 1000) * len(sets[a]):
                     break
                 if union.find(a) != union.find(b) and _linked(sets[a], sets[b], similarity):
                     union.join(a, b)
-                    edges.append((a, b))
-        yield from _edge_batches(edges)
+        # Stars, not chains: later rounds have less to shorten.
+        yield from _edge_batches([(d, union.find(d)) for d in order if union.find(d) != d])
 
     return run
 
@@ -217,8 +224,8 @@ def _between(similarity: float):
                 m = members[j]
                 if union.find(q) != union.find(m) and _linked(s, hold[m], similarity):
                     union.join(q, m)
-                    edges.append((q, m))
-        yield from _edge_batches(edges)
+                    edges += [q, m]
+        yield from _edge_batches([(d, union.find(d)) for d in dict.fromkeys(edges) if union.find(d) != d])
 
     return run
 
@@ -263,8 +270,12 @@ def _scatter(buckets: int, similarity: float):
     return run
 
 
-def _gather(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def _gather(similarity: float):
     """Hits of query sets in the unions of foreign groups, for the tokens of one bucket."""
+    return lambda table: _bucket_hits(table, similarity)
+
+
+def _bucket_hits(table: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
     tokens, owner, docs, base = [], [], [], 0
     for t, o, d in zip(*(table.column(x).to_pylist() for x in ("tokens", "owner", "docs")), strict=True):
         d = np.frombuffer(d, dtype=np.int64).reshape(5, -1)
@@ -285,8 +296,12 @@ def _gather(table: pa.Table) -> Iterator[pa.RecordBatch]:
     run = np.repeat(np.arange((size > 1).sum()), size[size > 1])
     # The matrix: each group once per token.
     g = np.unique(gid, return_inverse=True)[1]
-    cell = np.unique(run * (int(g.max()) + 1) + g[own], return_index=True)[1]
-    s_run, s_own = run[cell], own[cell]
+    key = run * (int(g.max()) + 1) + g[own]
+    order = np.argsort(key, kind="stable")
+    cell = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    s_run, s_own = run[order][cell], own[order][cell]
+    sizes = n[own][order]
+    least, most = np.minimum.reduceat(sizes, cell), np.maximum.reduceat(sizes, cell)
     q_run, q_own = run[asks], own[asks]
     # Runs that one component holds alone cannot join two.
     whole = np.where(gcomp == comp, gcomp, -1)
@@ -302,11 +317,13 @@ def _gather(table: pa.Table) -> Iterator[pa.RecordBatch]:
     a = 0
     total = np.cumsum(width)
     while a < len(q_own):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4_000_000, side="right")))
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 2_000_000, side="right")))
         w = width[a:b]
         q = np.repeat(q_own[a:b], w)
-        s = s_own[np.repeat(lo[a:b], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
-        ok = (gid[q] != gid[s]) & (gcomp[s] != comp[q])
+        c = np.repeat(lo[a:b], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        s = s_own[c]
+        # Only members that hold the token can be partners through it; their sizes must allow one.
+        ok = (gid[q] != gid[s]) & (gcomp[s] != comp[q]) & (most[c] >= n[q]) & (similarity * least[c] <= n[q] + 1e-6)
         pairs, hits = np.unique(np.stack([doc[q[ok]], gid[s[ok]]]), axis=1, return_counts=True) if ok.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         if pairs.shape[1]:
             found.append(np.concatenate([pairs, hits[None]]))
@@ -344,9 +361,9 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     ready = reps.select("doc_id", "tokens").join(state.join(of_group, "gid"), "doc_id")
 
     tokens = state.agg(F.sum(F.col("n") * (1.2 - similarity)).alias("t")).first().t or 0
-    buckets = max(8, int(tokens // 1_500_000))
+    buckets = max(8, int(tokens // 800_000))
     dealt = ready.mapInArrow(_scatter(buckets, similarity), "bucket int, tokens binary, owner binary, docs binary")
-    hits = in_groups(dealt, ["bucket"], _gather, "doc_id long, gid long, hits long")
+    hits = in_groups(dealt, ["bucket"], _gather(similarity), "doc_id long, gid long, hits long")
     hits = hits.groupBy("doc_id", "gid").agg(F.sum("hits").alias("hits")).join(state.select("doc_id", "n", "comp"), "doc_id").filter(F.col("hits") >= 1 + F.floor(F.col("n") / 32))
     opened = written(hits.select("gid", "doc_id", "comp"))
 
@@ -360,3 +377,24 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     roots = reps.select("k1", "k2", F.col("doc_id").alias("class_id")).join(roots, F.col("class_id") == F.col("node"), "left").select("k1", "k2", "class_id", F.coalesce("root", "class_id").alias("root"))
     none = F.col("n") == 0
     return every.join(roots, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def ngram_sql() -> str:
+    """DuckDB SQL for ngram_join() with five words and 0.8 over the table documents."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS root FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.root = e.a),
+roots AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS class_id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s))
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, least(sets.doc_id, coalesce(root, sets.doc_id)) AS component_id, coalesce(class_id, sets.doc_id) AS class_id
+FROM sets LEFT JOIN roots ON roots.doc_id = sets.doc_id LEFT JOIN classes ON classes.s = list_sort(sets.s)"""
