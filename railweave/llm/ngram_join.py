@@ -234,7 +234,7 @@ def _scatter(buckets: int, similarity: float):
     """Prefixes of many sets, dealt by token into one packed row per bucket."""
 
     def pack(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        docs = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in ("doc_id", "n", "gid", "comp", "gcomp")}
+        docs = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in ("doc_id", "n", "gid", "comp", "gcomp", "whole")}
         parts = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows]
         tokens = np.concatenate(parts)
         lens = np.array([len(p) for p in parts])
@@ -252,7 +252,7 @@ def _scatter(buckets: int, similarity: float):
                 out["bucket"].append(i)
                 out["tokens"].append(tokens[pick].tobytes())
                 out["owner"].append((at.astype(np.uint32) * 2 + asks[pick]).astype(np.uint32).tobytes())
-                out["docs"].append(np.stack([docs[k][own] for k in ("doc_id", "n", "gid", "comp", "gcomp")]).tobytes())
+                out["docs"].append(np.stack([docs[k][own] for k in ("doc_id", "n", "gid", "comp", "gcomp", "whole")]).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("tokens", "owner", "docs"))], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +278,12 @@ def _gather(similarity: float):
 def _bucket_hits(table: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]:
     tokens, owner, docs, base = [], [], [], 0
     for t, o, d in zip(*(table.column(x).to_pylist() for x in ("tokens", "owner", "docs")), strict=True):
-        d = np.frombuffer(d, dtype=np.int64).reshape(5, -1)
+        d = np.frombuffer(d, dtype=np.int64).reshape(6, -1)
         tokens.append(np.frombuffer(t, dtype=np.uint64))
         owner.append(np.frombuffer(o, dtype=np.uint32).astype(np.int64) + 2 * base)
         docs.append(d)
         base += d.shape[1]
-    doc, n, gid, comp, gcomp = np.concatenate(docs, axis=1)
+    doc, n, gid, comp, gcomp, compared = np.concatenate(docs, axis=1)
     tokens, owner = np.concatenate(tokens), np.concatenate(owner)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
@@ -323,7 +323,7 @@ def _bucket_hits(table: pa.Table, similarity: float) -> Iterator[pa.RecordBatch]
         c = np.repeat(lo[a:b], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
         s = s_own[c]
         # Only members that hold the token can be partners through it; their sizes must allow one.
-        ok = (gid[q] != gid[s]) & (gcomp[s] != comp[q]) & (most[c] >= n[q]) & (similarity * least[c] <= n[q] + 1e-6)
+        ok = ((gid[q] != gid[s]) | (compared[q] == 0)) & (gcomp[s] != comp[q]) & (most[c] >= n[q]) & (similarity * least[c] <= n[q] + 1e-6)
         pairs, hits = np.unique(np.stack([doc[q[ok]], gid[s[ok]]]), axis=1, return_counts=True) if ok.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         if pairs.shape[1]:
             found.append(np.concatenate([pairs, hits[None]]))
@@ -355,10 +355,21 @@ def ngram_join(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     edges = written(in_groups(_arrays(docs, seats.distinct(), width), ["family", "block"], _within(similarity), "a long, b long"))
     joined = components(edges)
 
-    state = placed.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.xxhash64("family", "block").alias("gid"), F.coalesce("root", "doc_id").alias("comp"))
-    state = written(state)
-    of_group = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("gcomp"))
-    ready = reps.select("doc_id", "tokens").join(state.join(of_group, "gid"), "doc_id")
+    # Of a family of several blocks, the members of its main component and the rest form
+    # groups apart, so that members of the main one meet a few groups of the rest, not
+    # every block.
+    state = written(placed.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "family", "block", "blocks", "members", F.coalesce("root", "doc_id").alias("comp")))
+    parts = state.groupBy("family", "comp").agg(F.count("*").alias("k"))
+    mains = parts.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("in_main"))
+    state = state.join(mains, "family")
+    is_main = F.col("comp") == F.col("main")
+    rest = F.greatest(F.lit(1), F.ceil((F.col("members") - F.col("in_main")) / GROUP))
+    one = F.col("blocks") == 1
+    gid = F.when(one, F.xxhash64("family", F.lit(2), "block")).when(is_main, F.xxhash64("family", F.lit(1), "block")).otherwise(F.xxhash64("family", F.lit(0), F.pmod(F.xxhash64("doc_id"), rest)))
+    alone = F.when(one, F.col("in_main") == F.col("members")).otherwise(is_main)
+    # Families of one block have been compared whole, so their groups need not be opened for own members.
+    state = written(state.select("doc_id", "n", gid.alias("gid"), "comp", F.when(alone, F.col("comp")).otherwise(-1).alias("gcomp"), one.alias("whole")))
+    ready = reps.select("doc_id", "tokens").join(state, "doc_id")
 
     tokens = state.agg(F.sum(F.col("n") * (1.2 - similarity)).alias("t")).first().t or 0
     buckets = max(8, int(tokens // 800_000))
