@@ -106,7 +106,7 @@ class _Lines(HTMLParser):
             for name, value in attrs:
                 value = value or ""
                 if name in ("class", "id") and tag not in ("body", "html"):
-                    dropped = dropped or bool(TEASERS & set(value.lower().split()) if root else FURNITURE.search(value) or not article and HEADER.search(value))
+                    dropped = dropped or bool(FURNITURE.search(value))
                 elif name == "role":
                     dropped = dropped or value.lower() in FURNITURE_ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():

@@ -68,6 +68,13 @@ def test_main_text():
     assert main_text("<article><p>cut <b>off") == "cut off"
 
 
+def test_main_text_with_ordinary_names():
+    long = "word " * 50
+    page = f'<div id="page" class="wrapper"><h2 class="title">Head</h2><main id="main" class="site-main"><article id="post-1" class="post entry"><h1 id="top" class="entry-title">Title</h1><div class="content"><p class="lead">{long}</div></article></main></div>'
+    assert main_text(page).endswith("Title\n" + long.strip())
+    assert main_text(f'<div id="page"><div class="content"><p class="x">{long}</div></div>') == long.strip()
+
+
 def test_page_texts(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in page_texts(rows).collect()}
