@@ -4,10 +4,10 @@ The standard library's parser streams events.  Text is cut into lines at block
 elements; each line has its characters, its tags and the characters inside links.
 The line's ratio is its unlinked characters over its tags.  Ratios are smoothed
 with a Gaussian along the page and clustered at a threshold (a share of their
-standard deviation, as CETR does).  Regions over it are content.  Where they lie
-in `article` or `main` elements, a region is completed to the whole element and
-text outside such elements is left out; if none reaches the threshold, all such
-elements with text count.
+standard deviation, as CETR does).  Regions over it are content, wherever they lie.
+`article` and `main` elements only add to them: one that holds a line of a region
+is completed, and so are its siblings with unlinked text if the line's own ratio
+reaches the threshold; if no line of the page does, all such elements count.
 
 Never content: script, style, template and other machine elements, forms and
 their controls, nav, header, footer and aside outside an article's own heading,
@@ -60,14 +60,15 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, dropped, which article, in link
-        self.articles = 0
+        self.open: list[tuple[str, bool, int, bool, int]] = []  # name, dropped, which article, in link, serial number
+        self.parents: list[int] = []  # serial number of the element around each article
+        self.serial = 0
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
 
     def state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+        return self.open[-1][1:4] if self.open else (False, 0, False)
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -112,9 +113,10 @@ class _Lines(HTMLParser):
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     dropped = True
         if root and not article and not dropped:
-            self.articles += 1
-            article = self.articles
-        self.open.append((tag, dropped, article, link or tag == "a"))
+            self.parents.append(self.open[-1][4] if self.open else 0)
+            article = len(self.parents)
+        self.serial += 1
+        self.open.append((tag, dropped, article, link or tag == "a", self.serial))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,10 +160,17 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
         return ""
     ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])
     article = np.array([a for *_, a in lines])
-    region = (_smooth(ratio, sigma) >= share * ratio.std()) & (ratio > 0)
-    if article.any():
-        chosen = set(article[region & (article > 0)].tolist()) or set(article[article > 0].tolist())
-        region = np.isin(article, list(chosen))
+    floor = share * ratio.std()
+    region = (_smooth(ratio, sigma) >= floor) & (ratio > 0)
+    inside = article > 0
+    if region.any():
+        hit = set(article[region & inside].tolist())
+        # Siblings of an article that reaches the threshold by itself are completed as well.
+        beside = {page.parents[a - 1] for a in set(article[region & inside & (ratio >= floor)].tolist())}
+        hit |= {a for a in set(article[inside & (ratio > 0)].tolist()) if page.parents[a - 1] in beside}
+        region |= np.isin(article, list(hit))
+    else:
+        region = inside
     return "\n".join(t for (t, *_), k in zip(lines, region, strict=True) if k)
 
 

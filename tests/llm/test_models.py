@@ -75,6 +75,16 @@ def test_main_text_with_ordinary_names():
     assert main_text(f'<div id="page"><div class="content"><p class="x">{long}</div></div>') == long.strip()
 
 
+def test_ratios_select_beside_articles():
+    long = "word " * 60
+    teasers = "".join(f"<article><h3><a href=/{i}>More {i}</a></h3><p>Read on</p></article>" for i in range(3))
+    found = main_text(f"<div><p>{long}</p><p>{long}</p><p>{long}</p></div><ul><li><a href=a>a</a><li><a href=b>b</a></ul><div>{teasers}</div>")
+    assert found.count("word") == 180
+    assert main_text(f"<div><p>{long}</p><p>{long}</p></div><nav>n</nav><p><a href=x>x</a></p><p><a href=x>x</a></p><p><a href=x>x</a></p><p><a href=x>x</a></p><div>{teasers}</div>").count("Read on") == 0
+    links = "<p><a href=x>x</a></p>" * 9
+    assert main_text(f"<div><article><p>{long}</p></article>{links}<article><p>Yes.</p></article></div>") == long.strip() + "\nYes."
+
+
 def test_page_texts(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in page_texts(rows).collect()}
