@@ -11,8 +11,13 @@ reaches the threshold; if no line of the page does, all such elements count.
 
 Never content: script, style, template and other machine elements, forms and
 their controls, nav, header, footer and aside outside an article's own heading,
-and elements whose class, id or role names a menu, an advert, a notice, a
-sidebar, a comment section or the like (FIXED VALUES below).
+and elements whose role, or whose class or id, names a menu, an advert, a notice, a
+sidebar, a comment section or the like (FIXED VALUES below).  A class or id token
+does so if a furniture name leads it (behind words of place) and only furniture
+names, words of form and numbers follow: "ad-slot-2" and "site-footer", not
+"has-sidebar" or "copyright-law".  No class or id drops `main`, the elements around
+the only article with text (of several, the one with most), or, without articles,
+the elements that hold both the highest smoothed ratio and half of the unlinked text.
 
 Defined results: null or empty html and pages without content lines give "";
 character references are decoded; white space inside a block becomes one space;
@@ -39,42 +44,82 @@ DROPPED = frozenset("script style template noscript head title nav footer aside
 CLOSES_P = BLOCKS - {"body", "html", "option", "select", "button", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "title"}
 SELF_CLOSING = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 SCOPES = frozenset("ul ol dl table article section div main body nav aside footer header form".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|advertorial|adsense|banner|banners|sponsor|sponsored|sponsors|promo|promos|promotion|promoted"
-    r"|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|sidebars|sidenav|aside|footer|masthead|topbar|toolbar|pagination|pager|toc"
-    r"|comment|comments|commentlist|disqus|respond|replies|reply|discussion"
-    r"|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|disclaimer"
-    r"|related|recommended|recommendations|share|sharing|social|widget|widgets|login|search|searchbox|skip|hidden|copyright)(?:$|[\s_-])",
-    re.I,
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adsense banner banners sponsor sponsored sponsors promo promos promotion promoted"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars sidenav aside footer masthead topbar toolbar pagination pager toc"
+    " comment comments commentlist disqus respond replies reply discussion"
+    " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall disclaimer"
+    " related recommended recommendations share sharing social widget widgets login search searchbox skip hidden copyright".split()
 )
+# Furniture names that are also subjects: inside an article, one alone marks nothing.
+SUBJECTS = frozenset("advertising promotion navigation respond replies reply discussion cookie cookies consent gdpr notice notices notification alert subscription disclaimer social sharing search copyright".split())
+# Words of place that may stand before a furniture name, and words of form that may follow it.
+PLACES = frozenset("site page main global primary secondary left right top bottom post entry article".split())
+FORMS = PLACES | frozenset("area bar block box btn button buttons col column container form group header holder icon icons inner item items link links list outer panel placeholder posts row section slot stories title unit wrap wrapper".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 SPACE = re.compile(r"[\s ]+")
 
+JOINTS = re.compile("[_-]+")
+
 _P, _P_SCOPES, _HEAD = frozenset({"p"}), SCOPES | {"button"}, frozenset({"head"})
 _LISTS, _TABLES = frozenset({"ul", "ol"}), frozenset({"table", "dl", "select"})
 
 
+def _names_furniture(value: str, in_article: bool) -> bool:
+    """Whether a class or id value holds a token made of a furniture name (with words of place and form)."""
+    for token in value.lower().split():
+        words = [w for w in JOINTS.split(token) if w]
+        while len(words) > 1 and words[0] in PLACES:
+            del words[0]
+        if words and words[0] in FURNITURE and all(w in FURNITURE or w in FORMS or w.isdigit() for w in words):
+            if not in_article or words[0] not in SUBJECTS or any(w in FURNITURE for w in words[1:]):
+                return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """Lines of a page outside furniture: text, tags, linked characters, number of the article around (0: none)."""
+    """Lines of a page outside dropped elements: pieces of text with their marks, tags, number of the article around (0: none).
+
+    A mark is an element whose class or id names furniture; whether it is left out
+    is known at the end of the page only.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int, bool, int]] = []  # name, dropped, which article, in link, serial number
+        self.lines: list[tuple[list[tuple[str, bool, int]], int, int]] = []  # pieces (text, in link, mark), tags, article
+        self.open: list[tuple[str, bool, int, bool, int, int]] = []  # name, dropped, which article, in link, mark, serial number
         self.parents: list[int] = []  # serial number of the element around each article
+        self.marked: list[bool] = []  # whether each article is itself a mark
+        self.around: list[int] = [0]  # the mark around each mark
         self.serial = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, bool, int]] = []
         self.tags = 0
-        self.linked = 0
 
-    def state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:4] if self.open else (False, 0, False)
+    def state(self) -> tuple[bool, int, bool, int]:
+        return self.open[-1][1:5] if self.open else (False, 0, False, 0)
 
     def cut(self) -> None:
-        text = SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.lines.append((text, self.tags, self.linked, self.state()[1]))
-        self.parts, self.tags, self.linked = [], 0, 0
+        if self.parts:
+            self.lines.append((self.parts, self.tags, self.state()[1]))
+        self.parts, self.tags = [], 0
+
+    def chain(self, mark: int) -> set[int]:
+        """A mark and those around it."""
+        out = set()
+        while mark:
+            out.add(mark)
+            mark = self.around[mark]
+        return out
+
+    def kept(self, lifted: set[int]) -> list[tuple[str, int, int, int]]:
+        """Lines (text, tags, linked characters, article) of what lies in no mark but lifted ones."""
+        out = []
+        for parts, tags, article in self.lines:
+            parts = [p for p in parts if not p[2] or self.chain(p[2]) <= lifted]
+            text = SPACE.sub(" ", "".join(p[0] for p in parts)).strip()
+            if text:
+                out.append((text, tags, sum(len(p[0]) for p in parts if p[1]), article))
+        return out
 
     def shut(self, names: frozenset[str], stop: frozenset[str]) -> None:
         """Closes the nearest open element of these names, unless one of stop comes first."""
@@ -96,27 +141,32 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", False, self.state()[3]))
             return
         if tag == "body":
             self.shut(_HEAD, frozenset())
-        dropped, article, link = self.state()
+        dropped, article, link, mark = self.state()
         root = tag in ("article", "main")
+        named = False
         if not dropped:
             dropped = tag in DROPPED or tag == "header" and not article
             for name, value in attrs:
                 value = value or ""
-                if name in ("class", "id") and tag not in ("body", "html"):
-                    dropped = dropped or bool(FURNITURE.search(value))
+                if name in ("class", "id") and tag not in ("body", "html", "main"):
+                    named = named or _names_furniture(value, article > 0)
                 elif name == "role":
                     dropped = dropped or value.lower() in FURNITURE_ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     dropped = True
+        if named and not dropped:
+            self.around.append(mark)
+            mark = len(self.around) - 1
         if root and not article and not dropped:
-            self.parents.append(self.open[-1][4] if self.open else 0)
+            self.parents.append(self.open[-1][5] if self.open else 0)
+            self.marked.append(named)
             article = len(self.parents)
         self.serial += 1
-        self.open.append((tag, dropped, article, link or tag == "a", self.serial))
+        self.open.append((tag, dropped, article, link or tag == "a", mark, self.serial))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,11 +183,9 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        dropped, _, link = self.state()
+        dropped, _, link, mark = self.state()
         if not dropped:
-            self.parts.append(data)
-            if link:
-                self.linked += len(data)
+            self.parts.append((data, link, mark))
 
 
 def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -147,6 +195,33 @@ def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _lifted(page: _Lines, sigma: float) -> set[int]:
+    """Marks that hold the page's main text, which their names cannot drop."""
+    if len(page.around) == 1:
+        return set()
+    if any(a and len(t) > linked for t, _, linked, a in page.kept(set())):
+        return set()
+    every = set(range(1, len(page.around)))
+    size, marks = np.zeros(len(page.parents) + 1), {}
+    free, ratio, chains = [], [], []
+    for parts, tags, article in page.lines:
+        n = sum(len(SPACE.sub(" ", t).strip()) for t, link, _ in parts if not link)
+        inner = min((page.chain(m) for *_, m in parts), key=len)
+        free.append(n)
+        ratio.append(n / max(1, tags))
+        chains.append(inner)
+        if article and not page.marked[article - 1]:
+            size[article] += n
+            # The marks around the article: those that all its lines share.
+            marks[article] = marks.get(article, every) & inner
+    if size.any():
+        return marks[int(size.argmax())]
+    if not any(free):
+        return set()
+    peak = chains[int(_smooth(np.array(ratio), sigma).argmax())]
+    return {m for m in peak if 2 * sum(n for n, c in zip(free, chains, strict=True) if m in c) >= sum(free)}
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     """Content lines of one page, joined by newlines."""
     if not html:
@@ -155,7 +230,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     page.feed(html)
     page.close()
     page.cut()
-    lines = page.lines
+    lines = page.kept(_lifted(page, sigma))
     if not lines:
         return ""
     ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])

@@ -85,6 +85,21 @@ def test_ratios_select_beside_articles():
     assert main_text(f"<div><article><p>{long}</p></article>{links}<article><p>Yes.</p></article></div>") == long.strip() + "\nYes."
 
 
+def test_furniture_names_drop_no_main_text():
+    long = "word " * 60
+    want = long.strip()
+    for name in ("has-sidebar", "no-sidebar", "content-with-sidebar", "overflow-hidden", "page-with-nav", "sidebar-right", "search"):
+        assert main_text(f'<div class="{name}"><article><p>{long}</p></article></div>') == want
+        assert main_text(f'<div id="{name}"><div class="menu">m</div><p>{long}</p></div><p><a href=x>x</a></p>') == want
+    for name in ("id=discussion", "class=discussion", "class=copyright-law", 'class="search-results"', "id=cookies"):
+        assert main_text(f"<article><p>{long}</p><section {name}><p>kept</p></section></article>") == want + "\nkept"
+    for name in ("ad", "ad-slot-2", "x sidebar", "site-footer", "related-posts", "share_buttons", "comments", "cookie-notice", "hidden"):
+        assert main_text(f'<article><p>{long}</p><div class="{name}"><p>{long} gone</p></div></article>') == want
+        assert main_text(f'<div class="{name}"><p>{long} {long} gone</p></div><article><p>{long}</p></article>') == want
+    assert main_text(f'<p>{long}<span class="ad">gone</span> end</p>') == long + "end"
+    assert main_text(f'<main class="search"><p>{long}</p></main>') == want
+
+
 def test_page_texts(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in page_texts(rows).collect()}
