@@ -1,9 +1,13 @@
 """Licence recognition from sentences, with DataFrame functions only.
 
-A text is cut into sentences at line ends and after full stops, question and
-exclamation marks.  Sentences that speak of licensing are normalised (lower case,
-runs of other characters than a-z and 0-9 become one space) and mapped to the
-identifier of a known licence sentence, or UNKNOWN.  The text's identifiers, in
+Known licence sentences are found first, over line ends, comment marks and blank
+lines within them: each must start at the start of a line or behind . ! ? ; : and
+end at the end of a line or at such a mark.  What is left is cut into sentences at
+line ends (a line of 50 characters or more without a mark at its end goes on in the
+next one, unless that is blank) and after full stops, question and exclamation
+marks.  Sentences that speak of licensing are normalised (lower case, runs of other
+characters than a-z and 0-9 become one space) and mapped to the identifier of a
+known licence sentence, or UNKNOWN.  The text's identifiers, in
 order, are matched against ordered rules: each rule is a run of identifiers; where
 it is found its licence is reported and the run taken out, so that full texts come
 before the short notices they contain.
@@ -12,7 +16,10 @@ Everything happens within a row, by built-in functions: no shuffle, no Python.
 
 Defined results: null, empty and unlicensed texts have no identifiers and no
 licences; repeats of a sentence are kept in the identifiers, a licence is reported
-once, in the order of the rules.  Other columns are not read.
+once, in the order of the rules.  Compound SPDX expressions (MIT OR Apache-2.0) are
+UNKNOWN.  Other columns are not read.  licences_sql() knows SENTENCES and RULES only
+and cuts at every line end: it gives the same for texts whose licence sentences are
+among these and have a line each, as in the given tables.
 """
 
 from __future__ import annotations
@@ -80,17 +87,71 @@ RULES = [
     ("Unlicense", "UNLICENSE-REF"),
     ("LicenseRef-all-rights-reserved", "ARR"),
 ]
+# FIXED VALUES: further sentences as regular expressions over normalised words.
+_UNDER = "(?:(?:this|the) (?:work|project|program|software|file|code|source code|library|package|repository|module) is )?(?:licensed|released|distributed|available|made available|provided|published) under (?:the )?(?:terms of (?:the )?)?"
+_SPDX = "spdx license identifier "
+MORE = {
+    "MIT-REF": [_UNDER + "mit licen[sc]e", "(?:the )?mit license(?: mit)?", "license mit", _SPDX + "mit"],
+    "APACHE2-REF": [_UNDER + "apache licen[sc]e version 2 0(?: the license)?", _UNDER + "apache (?:license )?2 0(?: license)?", "apache license version 2 0(?: january 2004(?: https? www apache org licenses)?)?", _SPDX + "apache 2 0"],
+    "APACHE2-OBTAIN": ["you may obtain a copy of the license at(?: https? www apache org licenses license 2 0(?: html| txt)?)?"],
+    "GPL3-REF": [_UNDER + "gnu general public license (?:version 3|v3|v3 0)(?: only)?", _SPDX + "gpl 3 0(?: only)?"],
+    "GPL2-REF": [_UNDER + "gnu general public license (?:version 2|v2|v2 0)(?: only)?", _SPDX + "gpl 2 0(?: only)?"],
+    "GPL3-LATER": [_UNDER + "gnu general public license (?:version 3|v3|v3 0) or (?:at your option )?(?:any )?later(?: version)?", _SPDX + "gpl 3 0 or later"],
+    "GPL2-LATER": [_UNDER + "gnu general public license (?:version 2|v2|v2 0) or (?:at your option )?(?:any )?later(?: version)?", _SPDX + "gpl 2 0 or later"],
+    "GPL-COPY": ["you should have received a copy of the gnu general public license along with this program"],
+    "GPL-SITE": ["if not see https? www gnu org licenses(?: gpl(?: 3 0| 2 0)? (?:html|txt))?"],
+    "LGPL3-REF": [_UNDER + "gnu lesser general public license (?:version 3|v3|v3 0)(?: only)?", _SPDX + "lgpl 3 0(?: only)?"],
+    "AGPL3-REF": [_UNDER + "gnu affero general public license (?:version 3|v3|v3 0)(?: only)?", _SPDX + "agpl 3 0(?: only)?"],
+    "BSD-SOURCE": ["redistributions? of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
+    "BSD-BINARY": ["redistributions? in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
+    "BSD-ENDORSE": ["neither the name of (?:[a-z0-9]+ ){1,12}?nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BSD-ASIS": ["this software is provided by (?:[a-z0-9]+ ){1,12}?as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "BSD3-REF": [_UNDER + "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) license", _SPDX + "bsd 3 clause"],
+    "BSD2-REF": [_UNDER + "(?:bsd 2 clause|2 clause bsd|simplified bsd) license", _SPDX + "bsd 2 clause"],
+    "MPL2-REF": [_UNDER + "mozilla public license (?:version 2 0|v 2 0|2 0)", _SPDX + "mpl 2 0"],
+    "CC-BY-REF": [_UNDER + "cc by 4 0", _SPDX + "cc by 4 0"],
+    "CC-BY-SA-REF": [_UNDER + "cc by sa 4 0", _SPDX + "cc by sa 4 0"],
+    "CC-BY-NC-REF": [_UNDER + "cc by nc 4 0", _SPDX + "cc by nc 4 0"],
+    "CC-BY-ND-REF": [_UNDER + "cc by nd 4 0", _SPDX + "cc by nd 4 0"],
+    "CC0-REF": [_UNDER + "cc0 1 0", _SPDX + "cc0 1 0"],
+    "UNLICENSE-REF": [_UNDER + "unlicense", _SPDX + "unlicense"],
+}
+# FIXED VALUES: further rules, by the run of the rule that they go before.
+MORE_RULES = {
+    "APACHE2-REF APACHE2-COMPLY APACHE2-ASIS APACHE2-SEE": [("Apache-2.0", "APACHE2-REF APACHE2-COMPLY APACHE2-OBTAIN APACHE2-ASIS APACHE2-SEE"), ("Apache-2.0", "APACHE2-REF APACHE2-COMPLY APACHE2-OBTAIN")],
+    "GPL-FREE3 GPL-HOPE GPL-SEE": [("GPL-3.0-or-later", "GPL-FREE3 GPL-HOPE GPL-SEE GPL-COPY GPL-SITE"), ("GPL-3.0-or-later", "GPL-FREE3 GPL-HOPE GPL-SEE GPL-COPY"), ("GPL-3.0-or-later", "GPL3-LATER")],
+    "GPL-FREE2 GPL-HOPE GPL-SEE": [("GPL-2.0-or-later", "GPL-FREE2 GPL-HOPE GPL-SEE GPL-COPY GPL-SITE"), ("GPL-2.0-or-later", "GPL-FREE2 GPL-HOPE GPL-SEE GPL-COPY"), ("GPL-2.0-or-later", "GPL2-LATER")],
+    "BSD-GRANT AS-IS": [("BSD-3-Clause", "BSD-GRANT BSD-SOURCE BSD-BINARY BSD-ENDORSE BSD-ASIS"), ("BSD-3-Clause", "BSD-GRANT BSD-SOURCE BSD-BINARY BSD-ENDORSE"), ("BSD-2-Clause", "BSD-GRANT BSD-SOURCE BSD-BINARY BSD-ASIS")],
+}
+EVERY_RULE = [r for rule in RULES for r in (*MORE_RULES.get(rule[1], ()), rule)]
 #: What makes a sentence one about licensing; every known sentence has it.
 SPEAKS = r"licen[sc]e|licensed|copyright|warrant|redistribut|permission is|permitted provided|all rights reserved|public domain|cc0|compliance with"
 
 
+#: Where a known sentence may start and end, in a text in lower case.
+_START = r"(?:^|(?<=\n|[.!?;:]\s))[^a-z0-9\n]{0,80}"
+_END = r"(?=[^a-z0-9\n]{0,80}(?:\n|\z)|[^a-z0-9\s]{0,4}[.!?;:](?:[^a-z0-9]|\z))"
+
+
+def _marked(text: Column) -> Column:
+    """text in lower case, with each known sentence replaced by its identifier on a line of its own."""
+    for name in dict.fromkeys((*SENTENCES, *MORE)):
+        every = "|".join([*MORE.get(name, ()), *SENTENCES.get(name, ())])
+        text = F.regexp_replace(text, f"{_START}(?:{every.replace(' ', '[^a-z0-9]+')}){_END}", f"\n\n{name}\n\n")
+    return text
+
+
 def _ids(text: Column) -> Column:
     """Identifiers of the licensing sentences of a text, in order."""
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for s in v for x in (s, k)))
-    sentences = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.!?])[ \t]+", "$1\n"), "\n")
-    speaking = F.filter(sentences, lambda s: s.rlike(SPEAKS))
-    plain = F.transform(speaking, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("UNKNOWN")))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    joined = F.regexp_replace(_marked(low), r"\n(?<=[^\n]{49}[^.!?;:\n]\n)(?=[^\S\n]*\S)", " ")
+    sentences = F.split(F.regexp_replace(joined, r"([.!?])[ \t]+", "$1\n"), "\n")
+    # Only identifiers begin with a capital.
+    speaking = F.filter(sentences, lambda s: s.rlike(f"^[A-Z]|{SPEAKS}"))
+    plain = F.transform(speaking, lambda s: F.when(s.rlike("^[A-Z]"), s).otherwise(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+    found = F.transform(plain, lambda s: F.when(s.rlike("^[A-Z]"), s).otherwise(F.coalesce(F.try_element_at(known, s), F.lit("UNKNOWN"))))
+    return F.when(low.rlike(SPEAKS), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -98,7 +159,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     sentence_ids and licences are joined by one space.
     """
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(f" {run} ").alias("run")) for name, run in RULES))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(f" {run} ").alias("run")) for name, run in EVERY_RULE))
     start = F.struct(F.col("seq").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:

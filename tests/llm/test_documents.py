@@ -147,6 +147,81 @@ def test_licences(spark):
     assert got[5] == ("CC-BY-NC-REF CC-BY-NC-REF ARR", "CC-BY-NC-4.0 LicenseRef-all-rights-reserved", 3, 0)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_ASIS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>. */"""
+
+
+def test_licences_in_wrapped_lines(spark):
+    texts = [MIT, APACHE, APACHE.replace("\n# you may", " you may"), BSD2 + BSD_ASIS, BSD2 + ENDORSE + BSD_ASIS, GPL, "This work is licensed under the MIT License.", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"]
+    texts += ["SPDX-License-Identifier: MIT OR Apache-2.0", "It is not licensed under the MIT License.", "A sentence about the licences of other people that is wrapped\nand that speaks of a copyright."]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].licences for i in range(len(texts))] == ["MIT", "Apache-2.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "MIT", "GPL-2.0-or-later", "", "", ""]
+    apache = "APACHE2-REF APACHE2-COMPLY APACHE2-OBTAIN APACHE2-ASIS APACHE2-SEE"
+    assert got[1].sentence_ids == got[2].sentence_ids == apache
+    assert [got[i].n_unknown for i in range(1, len(texts))] == [0] * 7 + [1] * 3
+    assert "MIT-GRANT MIT-NOTICE AS-IS" in got[0].sentence_ids and "GPL-FREE3 GPL-HOPE GPL-SEE GPL-COPY GPL-SITE" == got[5].sentence_ids
+
+
 def test_mixing(spark):
     rows = [(i, "t", "a" if i < 4000 else "b" if i < 5000 else None) for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
