@@ -10,8 +10,9 @@ language; scoring adds up table entries over all bytes of a text, and the shorte
 code wins.  The score is the winner's share of the likelihood, equal priors.
 
 Training is bounded: at most `SAMPLE` whole texts of each language, those with
-the least hash of their doc_id, and at most `LANGUAGES` languages (the most
-frequent).  The tables (classes ** (ORDER + 1) floats a language) are broadcast.
+the least hash of their doc_id; every language is learned.  The tables (classes **
+(ORDER + 1) floats a language) are broadcast for `BLOCK` languages at a time: texts
+are scored by one block after the other, and written with the best so far between.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 ties go to the language first in order; with nothing to learn from all are `und`.
@@ -19,20 +20,22 @@ ties go to the language first in order; with nothing to learn from all are `und`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import written
 from .text import texts
 from .toxicity import held_out
 
 ORDER = 3
 HIGH = 11
 SAMPLE = 300
-LANGUAGES = 64
+#: Languages whose tables are in memory together.
+BLOCK = 16
 CLASSES = 29 + HIGH
 
 _CLASS = np.full(256, 28, dtype=np.int32)
@@ -72,10 +75,19 @@ def table(samples: list[bytes]) -> np.ndarray:
     return -np.log2(p).astype(np.float32).ravel()
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their tables side by side, from docs(doc_id, text, lang)."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and doc_id is not null and text is not null").filter(~held_out(F.col("doc_id"), 5, 0))
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+def _known(docs: DataFrame) -> DataFrame:
+    """Rows to learn from."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and doc_id is not null and text is not null").filter(~held_out(F.col("doc_id"), 5, 0))
+
+
+def languages(docs: DataFrame) -> list[str]:
+    """Languages in order, from docs(doc_id, text, lang)."""
+    return sorted(r.lang for r in _known(docs).select("lang").distinct().collect())
+
+
+def learn(docs: DataFrame, langs: list[str], sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """These languages, and their tables side by side, from docs(doc_id, text, lang)."""
+    known = _known(docs)
     key = F.md5(F.col("doc_id").cast("string"))
     out = []
     for lang in langs:
@@ -88,35 +100,55 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     return langs, tables
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score) of docs(doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _compared(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """rows(doc_id, text, lang_pred, bits, weight) with the best of theirs and the model's languages.
+
+    weight is the likelihood of all languages so far over the best one's.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, tables = held.value
         for batch in batches:
-            names, scores = [], []
-            for t in texts(batch).cast(pa.large_binary()):
+            names, least, weights = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang_pred", "bits", "weight"))
+            for k, t in enumerate(texts(batch).cast(pa.large_binary())):
                 raw = t.as_py()
                 c = _CLASS[np.frombuffer(raw, dtype=np.uint8)] if raw else np.zeros(0, np.int32)
                 letter = bool(((c > 0) & (c < 27)).any()) or bool((c > 28).any()) and any(map(str.isalpha, raw.decode(errors="replace")))
                 if not langs or not letter:
-                    names.append("und")
-                    scores.append(0.0)
                     continue
                 code = _codes(raw)
                 bits = np.zeros(len(langs))
                 for a in range(0, len(code), 1 << 16):
                     bits += tables[code[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 best = int(bits.argmin())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+                name, low = langs[best], float(bits[best])
+                weight = float(np.exp2(np.maximum(low - bits, -1000)).sum())
+                if names[k] is not None:
+                    before, old = least[k], weights[k]
+                    if before <= low:
+                        weight = old + weight * 2.0 ** max(before - low, -1000)
+                        name, low = names[k], before
+                    else:
+                        weight += old * 2.0 ** max(low - before, -1000)
+                names[k], least[k], weights[k] = name, low, weight
+            same = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(names, pa.string()), pa.array(least, pa.float64()), pa.array(weights, pa.float64())], names=["doc_id", "text", "lang_pred", "bits", "weight"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, lang_pred string, bits double, weight double")
+
+
+def identify(docs: DataFrame, models: Iterable[tuple[list[str], np.ndarray]]) -> DataFrame:
+    """(doc_id, lang_pred, score) of docs(doc_id, text), by models of languages in order."""
+    none = F.lit(None)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), none.cast("string").alias("lang_pred"), none.cast("double").alias("bits"), none.cast("double").alias("weight"))
+    for k, model in enumerate(models):
+        out = _compared(written(out) if k else out, model)
+    return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("weight"), F.lit(0.0)).alias("score"))
 
 
 def language_query(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    found = identify(docs, learn(docs))
+    langs = languages(docs)
+    found = identify(docs, (learn(docs, langs[a : a + BLOCK]) for a in range(0, len(langs), BLOCK)))
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")

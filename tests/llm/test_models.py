@@ -53,6 +53,15 @@ def test_language(spark):
     assert {r.lang_pred for r in language_query(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_value(spark):
+    # 70 languages, the last ones the rarest: each writes its own two letters.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = [letters[i] + letters[j] for i in range(26) for j in range(i)][:70]
+    rows = [(i * 1000 + k, (pairs[i] + " ") * 20 + pairs[i][::-1], f"l{i:02}") for i in range(70) for k in range(6 if i < 64 else 5)]
+    got = {r.doc_id: r for r in language_query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, _, lang in rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b>
