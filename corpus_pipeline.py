@@ -50,8 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_ids of every document of the mix."""
-    return encode_texts(docs).select("doc_id", "source", "ids", "n_ids")
+    """doc_id, source, ids, n_ids and round_trip (the decoded ids are the text) of every document of the mix."""
+    return encode_texts(docs, check=True).select("doc_id", "source", "ids", "n_ids", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated passages", drop_repeats), ("mixing", mix), ("pieces", encode)]

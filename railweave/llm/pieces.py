@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
 A text is cut into words at the word mark; of each distinct word, substrings up
-to the longest piece are joined to the piece table, which gives the edges of its
+to the longest piece are looked up in the piece table, which gives the edges of its
 lattice, and a fold over its positions keeps the best path.  For
 unigram models "best" is the highest sum of scores (Viterbi).  The scores of BPE
 models are merge ranks, and their highest sum is *not* the library's result.
 There the fold admits an edge only behind the edge whose piece it would not have
 been merged with: a sequence of pieces is the BPE result exactly if each pair of
 neighbours is the BPE result of the two joined.  Such a path is unique; the fold
-tries long edges first and leaves a position for good when no edge fits.  Runs of word marks, whose pieces share one
-score, are merged directly.
+tries long edges first and leaves a position for good when no edge fits.  Runs of
+word marks, whose pieces share one score, and words over `LONGEST` characters (texts
+without blanks) are merged directly, by a heap.
 
 Lattices live in each Python worker: a bounded memory of words, filled as words
 appear.  The relational form (exploded substrings, shuffled by word, joined back

@@ -32,3 +32,9 @@ def test_stages(spark, tmp_path):
     assert mixed.count() == seen["mixing"].count() > 0
     assert all(r.text == texts[r.doc_id] for r in mixed.collect())
     assert corpus_pipeline.run(spark, d).count() == seen["pieces"].count()
+
+
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "a b  c", "x"), (2, None, "x"), (3, "a▁b", "x")], "doc_id long, text string, source string")
+    out = corpus_pipeline.encode(spark, docs, "")
+    assert {r.doc_id: r.round_trip for r in out.collect()} == {1: True, 2: True, 3: False}
