@@ -29,6 +29,8 @@ CHAIN = 2
 SPAN = 8
 #: Rows of a run of doc_ids, about.
 RUN = 1024
+#: Rounds in which near_classes() takes out what is like the first of its group.
+LEADERS = 3
 # FIXED VALUES: common words of English, German, French and Spanish.
 COMMON = tuple(dict.fromkeys("""
 the a an of to and in is was that it for on are by as with be this from or at have not which what
@@ -104,8 +106,11 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Equal fingerprints are one class before anything is joined.  Candidates share
     one of the n - ceil(t n) + 1 rarest signatures of each and lie in the same or
-    the next partition of set lengths.  Each set is compared with the first of its
-    partition that holds the signature and with those that this one is not like.
+    the next partition of set lengths: the sets of a signature, a partition and the
+    one before are a group.  In each of `LEADERS` rounds the sets of a group that
+    have no leader yet are compared with the first of them, and those like it have
+    it as their leader.  Sets with one leader are one class and not compared again;
+    all other pairs of a group are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     sets = with_signatures(docs, "text", "spots").select("doc_id", "spots", F.sha2(_text_of(F.col("spots")), 256).alias("key"))
@@ -117,10 +122,21 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     kept = ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)))
     kept = kept.filter("often > 1").select("rep", "n", "spot", part.alias("part"))
-    left = kept.select("spot", F.col("rep").alias("a"), F.col("n").alias("an"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = kept.select("spot", F.col("rep").alias("b"), F.col("n").alias("bn"), "part")
-    pairs = left.join(right, ["spot", "part"]).filter("a <> b and (an < bn or an = bn and a < b)").filter(F.col("an") >= F.col("bn") * similarity - 1e-9).select("a", "b").distinct()
+    groups = written(kept.select("spot", F.explode(F.array(F.struct(F.col("part").alias("group"), F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("group"), F.lit(False).alias("own")))).alias("g"), "rep", "n").select("spot", "g.group", "rep", "n", "g.own", F.lit(None).cast("long").alias("leader")))
+    links = None
+    for _ in range(LEADERS):
+        first = groups.filter("leader is null").groupBy("spot", "group").agg(F.min("rep").alias("first"))
+        asked = groups.filter("leader is null").join(first, ["spot", "group"]).select("rep", "first").distinct()
+        asked = asked.join(reps.select("rep", F.col("spots").alias("x")), "rep").join(reps.select(F.col("rep").alias("first"), F.col("spots").alias("y")), "first")
+        like = written(asked.filter(likeness(F.col("x"), F.col("y")) >= similarity).select("rep", "first"))
+        new = like.filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+        links = links.union(new) if links else new
+        led = first.join(like, "first").select("spot", "group", "rep", "first")
+        groups = written(groups.join(led, ["spot", "group", "rep"], "left").select("spot", "group", "rep", "n", "own", F.coalesce("leader", "first").alias("leader")))
+    left = groups.select("spot", "group", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("leader").alias("al"))
+    right = groups.filter("own").select("spot", "group", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("leader").alias("bl"))
+    pairs = left.join(right, ["spot", "group"]).filter("a <> b and (an < bn or an = bn and a < b) and (al is null or bl is null or al <> bl)").filter(F.col("an") >= F.col("bn") * similarity - 1e-9).select("a", "b").distinct()
     pairs = pairs.join(reps.select(F.col("rep").alias("a"), F.col("spots").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("spots").alias("y")), "b")
-    roots = components(pairs.filter(likeness(F.col("x"), F.col("y")) >= similarity).select("a", "b"))
+    roots = components(pairs.filter(likeness(F.col("x"), F.col("y")) >= similarity).select("a", "b").union(links).distinct())
     named = reps.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     return sets.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

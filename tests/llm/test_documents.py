@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from railweave.llm import spotsigs
 from railweave.llm.licences import scan_licences
 from railweave.llm.mixing import mix_sources
 from railweave.llm.ngram_join import ngram_join
@@ -137,6 +138,19 @@ def test_spotsigs_near_classes(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_near_classes_compares_a_family_with_its_leader(spark, monkeypatch):
+    base = [w for i in range(40) for w in ("the", f"x{i}", f"y{i}")]
+    rows = [(i, " ".join([*base, "the", f"n{i}", f"m{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join(f"the o{i}p{k} q{i}q{k}" for k in range(40))) for i in range(3)]
+    # The sets left to components() are the links found: about one a member, not all pairs.
+    links = []
+    real = spotsigs.components
+    monkeypatch.setattr(spotsigs, "components", lambda edges: links.append(edges.count()) or real(edges))
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 60 else i for i, _ in rows}
+    assert 59 <= links[0] <= 3 * 60
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nFoo."
     rows = [(1, "Text.\nReleased under the MIT License."), (2, mit), (3, "A licence of my own."), (4, None), (5, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.\nAll rights reserved.")]
