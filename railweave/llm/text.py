@@ -1,10 +1,11 @@
 """Vectorised words, shingles and windows of Arrow text columns.
 
-Words are maximal runs of bytes outside ``20 09-0D``.  A word's hash is a
-polynomial over its bytes modulo 2**64, read off one running sum per slice, so
-that no Python object is made per word.  Sequences of words are hashed in the
-same way over the words' mixed hashes.  Hashes are 64 bits; operators that need
-more combine two.
+Words are maximal runs of bytes outside ``20 09-0D``.  A word's hash is a pair of
+polynomials over its bytes modulo two primes, read off running sums per slice, so
+that no Python object is made per word.  (Modulo 2**64, long words over two letters
+can be made to collide whatever the base.)  Sequences of up to some hundred words are
+hashed by a polynomial modulo 2**64 over the words' mixed hashes.  Hashes are 64 bits;
+operators that need more combine two.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
+#: Primes and bases of words' hashes.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 1566083941))
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 
@@ -31,7 +33,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U))
+_BYTES = np.arange(1, 257, dtype=_U)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, dtype=bool)
@@ -41,22 +43,27 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MARKS = _SPACE.copy()
 _MARKS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
+def _power(base: int, n: int, prime: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n, modulo a prime under 2**31, or without one 2**64."""
+    have = _powers.get((base, prime))
     if have is None or len(have[0]) < n:
         size = max(n, SLICE_BYTES + (1 << 18))
         out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, dtype=_U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+        for b in (base, pow(base, -1, prime or 1 << 64)):
+            a, done = np.ones(size, dtype=_U), 1
+            while done < size:
+                more = min(done, size - done)
+                a[done : done + more] = a[:more] * _U(pow(b, done, prime or 1 << 64))
+                if prime:
+                    a[done : done + more] %= _U(prime)
+                done += more
+            out.append(a)
         have = (out[0], out[1])
         if size <= 8 * SLICE_BYTES:
-            _powers[base] = have
+            _powers[base, prime] = have
     return have
 
 
@@ -90,11 +97,14 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.data = data
         if size:
-            up, down = _power(_P, size)
-            run = np.zeros(size + 1, dtype=_U)
-            np.cumsum((_LOWER if lower else _BYTES)[data] * up[:size], out=run[1:])
-            h = (run[self.ends] - run[self.starts]) * down[self.starts]
-            self.hashes = mix(h ^ (self.ends - self.starts).astype(_U))
+            values, halves = (_LOWER if lower else _BYTES)[data], []
+            for prime, base in _PRIMES:
+                up, down = _power(base, size, prime)
+                run = np.zeros(size + 1, dtype=_U)
+                # Terms of 39 bits: sums of a slice fit; those of longer texts are reduced first.
+                np.cumsum(values * up[:size] if size <= 1 << 24 else values * up[:size] % _U(prime), out=run[1:])
+                halves.append((run[self.ends] - run[self.starts]) % _U(prime) * down[self.starts] % _U(prime))
+            self.hashes = mix(halves[0] << _U(32) | halves[1])
         else:
             self.hashes = np.zeros(0, dtype=_U)
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from railweave.llm import ngram_join as ngram_module
 from railweave.llm import spotsigs
 from railweave.llm.licences import scan_licences
 from railweave.llm.mixing import mix_sources
@@ -79,7 +80,37 @@ def test_ngram_join_without_rows_and_repeated_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ngram_join(none).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "x", 0), (2, "a b c d e f", 0)], "doc_id long, text string, n int")
-    assert sorted((r.doc_id, r.component_id) for r in ngram_join(twice).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(twice).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
+
+
+def test_ngram_join_of_one_id_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = ([f"{k}{rng.random()}" for _ in range(100)] for k in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (5, ""), (6, " ".join(b))]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 96, 2, 5), (2, 96, 2, 2), (3, 96, 2, 3), (4, 96, 4, 4), (5, 0, 2, 5), (6, 96, 2, 5)}
+
+
+def long_words():
+    """Two words of 2,048 bytes that polynomials modulo 2**64 cannot tell apart."""
+    return tuple("".join(pair[bin(i).count("1") % 2] for i in range(2048)) for pair in ("ab", "ba"))
+
+
+def test_words_that_hash_alike_modulo_a_power_of_two(spark):
+    x, y = long_words()
+    tail = " ".join(f"t{i}" for i in range(60))
+    rows = [(1, f"{x} " * 4 + x), (2, f"{y} " * 4 + y), (3, f"{x} {tail}"), (4, " ".join([y, *tail.split()[:49], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in substring_digest(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_ngram_join_splits_tokens_and_groups(spark, docs, monkeypatch):
+    for name, value in (("HOT", 20), ("GROUP", 16), ("QUERIES", 8), ("LED", 2), ("DEALT", 3000), ("CELLS", 200)):
+        monkeypatch.setattr(ngram_module, name, value)
+    want = brute_components(ROWS)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs).collect()} == want
 
 
 def test_substring_digest(docs):
