@@ -15,20 +15,25 @@ Defined results: null counts as empty; empty texts have an empty fingerprint and
 likeness 1 to one another, 0 to others.  A text without signatures has one of each
 word (or, without words, of itself), so equal texts have equal fingerprints.  Next
 is the row with the next smaller doc_id, after the last the first; of rows that
-share a doc_id the order is that of their texts' hashes.
+share a doc_id the order is that of their texts' hashes.  A row without doc_id stands
+alone: its next document is an empty one.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import components, written
+from .frames import components, fresh, written
 
 CHAIN = 2
 SPAN = 8
 #: Rows of a run of doc_ids, about.
 RUN = 1024
+#: Most quantiles of doc_ids within which runs are laid.
+PARTS = 256
 #: Rounds in which near_classes() takes out what is like the first of its group.
 LEADERS = 3
 # FIXED VALUES: common words of English, German, French and Spanish.
@@ -40,15 +45,15 @@ el la los las de que y en un una por con no es para del al se lo su
 """.split()))
 
 
-def signatures(text: Column, words: Column) -> Column:
-    """Sorted distinct signature hashes; words must be a materialised column."""
-    common = list(COMMON)
+def signatures(text: Column, words: Column, content: Column) -> Column:
+    """Sorted distinct signature hashes; words and content (null for common words) must be materialised columns."""
 
     def spot(w: Column, i: Column) -> Column:
-        chain = F.slice(F.filter(F.slice(words, i + 2, SPAN), lambda x: ~x.isin(common)), 1, CHAIN)
-        return F.when(w.isin(common) & (F.size(chain) > 0), F.hash(w, F.array_join(chain, " ")))
+        chain = F.array_join(F.slice(F.array_compact(F.slice(content, i + 2, SPAN)), 1, CHAIN), " ")
+        return F.when(F.get(content, i).isNull(), F.struct(w.alias("w"), chain.alias("chain")))
 
-    spots = F.array_sort(F.array_distinct(F.array_compact(F.transform(words, spot))))
+    spots = F.transform(F.filter(F.transform(words, spot), lambda x: x["chain"] != ""), lambda x: F.hash(x["w"], x["chain"]))
+    spots = F.array_sort(F.array_distinct(spots))
     alone = F.when(F.size(words) > 0, F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(F.lit(""), w))))).otherwise(F.array(F.hash(F.lit(""), text)))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<int>")).when(F.size(spots) > 0, spots).otherwise(alone)
 
@@ -56,7 +61,10 @@ def signatures(text: Column, words: Column) -> Column:
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the signature set of a text column."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.withColumn("spot_words", words).withColumn(name, signatures(F.col(text), F.col("spot_words"))).drop("spot_words")
+    split, content = fresh("spot_words", df.columns), fresh("spot_content", df.columns)
+    df = df.withColumn(split, words)
+    df = df.withColumn(content, F.transform(split, lambda w: F.when(~w.isin(list(COMMON)), w)))
+    return df.withColumn(name, signatures(F.col(text), F.col(split), F.col(content))).drop(split, content)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,25 +73,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df(doc_id, ...) with next_<column> of the row with the next smaller doc_id.
+def _runs(df: DataFrame) -> tuple[Column, Column]:
+    """Part and run of a doc_id, rising with it: quantiles, and about `RUN` rows each within.
 
-    Runs of doc_ids are windowed apart; each run also gets a copy of the first row
-    of the run that follows it.
+    Parts are at most `PARTS`, so outlying ids thin out the runs of their own part only.
     """
-    span = df.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, -(-(span.hi - span.lo + 1) * RUN // span.n)) if span.n else 1
-    run = F.floor((F.col("doc_id") - F.lit(span.lo or 0)) / width)
-    rows = df.withColumn("run", run)
-    heads = rows.groupBy("run").agg(F.max("doc_id").alias("doc_id"))
-    order = Window.orderBy(F.desc("run"))
-    # One row a run: the list of runs is short enough for one task.
-    heads = heads.withColumn("after", F.lag("run").over(order)).withColumn("top", F.max("run").over(Window.partitionBy())).withColumn("low", F.min("run").over(Window.partitionBy()))
-    heads = written(heads.select("doc_id", F.when(F.col("run") == F.col("top"), F.col("low")).otherwise(F.col("after")).alias("before")))
-    copies = df.join(heads, "doc_id").select(*df.columns, F.col("before").alias("run"), F.lit(True).alias("copy"))
-    every = rows.withColumn("copy", F.lit(False)).unionByName(copies)
-    near = Window.partitionBy("run").orderBy("copy", F.desc("doc_id"), F.xxhash64("text"))
-    return every.select("*", *(F.lead(c).over(near).alias(f"next_{c}") for c in columns)).filter(~F.col("copy")).drop("run", "copy")
+    n = df.count()
+    parts = max(1, min(PARTS, n // RUN))
+    marks = df.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts + 1)], 20 * parts)).first()[0] if n else None
+    marks = sorted(set(marks or [0]))
+    lows = marks[:-1] or marks
+    runs = max(1, n // (RUN * parts))
+    widths = [max(1.0, (float(hi) - float(lo)) / runs) for lo, hi in zip(lows, marks[1:] or marks, strict=True)]
+    array = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    part = F.greatest(F.lit(1), F.size(F.filter(array(lows, "bigint"), lambda low: low <= F.col("doc_id"))))
+    # Doubles: casts and quotients keep the order, and no difference of two ids overflows.
+    run = F.floor((F.col("doc_id").cast("double") - F.element_at(array(lows, "bigint"), part).cast("double")) / F.element_at(array(widths, "double"), part))
+    return part.cast("int"), run
+
+
+def in_runs(df: DataFrame) -> DataFrame:
+    """df(doc_id, ...) with part, run and copy: each run also holds a copy of the first row of the run that follows it."""
+    part, run = _runs(df)
+    rows = df.withColumn("part", part).withColumn("run", run)
+    heads = written(rows.groupBy("part", "run").agg(F.max("doc_id").alias("doc_id")))
+    # A part's first run takes over from the last run of the part above, the topmost from the lowest of all.
+    ends = heads.groupBy("part").agg(F.min("run").alias("low")).orderBy("part").collect()
+    above = [(x.part, ends[(i + 1) % len(ends)].part, ends[(i + 1) % len(ends)].low) for i, x in enumerate(ends)]
+    above = F.broadcast(df.sparkSession.createDataFrame(above, "part int, next_part int, next_run long"))  # at most PARTS rows
+    after = F.lead("run").over(Window.partitionBy("part").orderBy("run"))
+    heads = heads.withColumn("after", after).join(above, "part")
+    heads = heads.select("doc_id", F.when(F.col("after").isNull(), F.col("next_part")).otherwise(F.col("part")).alias("part"), F.coalesce("after", "next_run").alias("run"))
+    copies = df.join(heads, "doc_id").select(*df.columns, "part", "run", F.lit(True).alias("copy"))
+    return rows.withColumn("copy", F.lit(False)).unionByName(copies)
+
+
+def with_next(every: DataFrame, columns: list[str]) -> DataFrame:
+    """in_runs() rows with next_<column> of the row with the next smaller doc_id."""
+    near = Window.partitionBy("part", "run").orderBy("copy", F.desc("doc_id"), F.xxhash64("text"))
+    return every.select("*", *(F.lead(c).over(near).alias(f"next_{c}") for c in columns)).filter(~F.col("copy")).drop("part", "run", "copy")
 
 
 def _text_of(fingerprint: Column) -> Column:
@@ -92,8 +120,11 @@ def _text_of(fingerprint: Column) -> Column:
 
 def fingerprint_query(docs: DataFrame) -> DataFrame:
     """Digest columns of every document, its edited text and its next document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("doc_id is not null")
-    rows = with_next(with_signatures(docs, "text", "spots"), ["text", "spots"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # Signatures come after the copies, so that none is made twice.
+    rows = with_next(with_signatures(in_runs(docs.filter("doc_id is not null")), "text", "spots"), ["text", "spots"])
+    lone = with_signatures(docs.filter("doc_id is null"), "text", "spots").withColumns({"next_text": F.lit(""), "next_spots": F.array().cast("array<int>")})
+    rows = rows.unionByName(lone)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)).alias("edited"))

@@ -92,6 +92,14 @@ def test_ngram_join_of_one_id_with_several_texts(spark):
     assert got == {(5, 96, 2, 5), (2, 96, 2, 2), (3, 96, 2, 3), (4, 96, 4, 4), (5, 0, 2, 5), (6, 96, 2, 5)}
 
 
+def test_substring_digest_of_one_id_with_several_texts(spark):
+    a, c, tail = (" ".join(f"{k}{i}" for i in range(60)) for k in "act")
+    rows = [(0, a), (5, f"{a} {tail}"), (5, c), (5, f"{a} {tail}"), (None, a), (6, "")]
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 60, 0), (-1, 60, 0), (5, 60, 0), (5, 120, 60), (5, 120, 60), (6, 0, 0)]
+    assert sorted(len((r.text or "").split()) for r in strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 60, 60, 60, 60, 60]
+
+
 def long_words():
     """Two words of 2,048 bytes that polynomials modulo 2**64 cannot tell apart."""
     return tuple("".join(pair[bin(i).count("1") % 2] for i in range(2048)) for pair in ("ab", "ba"))
@@ -162,6 +170,36 @@ def test_fingerprints(docs):
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+def brute_signatures(text):
+    w = [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
+    found = set()
+    for i, x in enumerate(w):
+        chain = [y for y in w[i + 1 : i + 9] if y not in spotsigs.COMMON][:2]
+        if x in spotsigs.COMMON and chain:
+            found.add((x, *chain))
+    return found or {("", x) for x in w} or ({("", text)} if text else set())
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = [*spotsigs.COMMON[:30], *(f"w{i}" for i in range(50)), "Ünï"]
+    edge = [(-9_000_000_000_000_000_000, "the cat sat on a mat"), (9_000_000_000_000_000_000, "The cat sat, on a mat!"), (None, "the cat"), (7, None), (7, ""), (8, "--"), (9, "the of"), (10, "x " * 30_000)]
+    rows = [(i * 11, " ".join(rng.choices(pool, k=rng.randint(0, 60)))) for i in range(40)] + edge
+    rows = [(d, t, "x", "y", "z", 0, 0) for d, t in rows]
+    got = fingerprint_query(spark.createDataFrame(rows, "doc_id long, text string, spots string, part string, spot_words string, run int, copy int").repartition(4)).collect()
+    assert len(got) == len(rows)
+    order = sorted((r for r in rows if r[0] is not None and r[0] != 7), key=lambda r: -r[0])
+    by = {r.doc_id: r for r in got}
+    jaccard = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for r, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        want = brute_signatures(r[1])
+        assert len(by[r[0]].fingerprint.split()) == len(want)
+        if 7 not in (r[0], nxt[0]) and r[0] != 8:
+            assert by[r[0]].near_next == pytest.approx(jaccard(want, brute_signatures(nxt[1])))
+    assert by[None].n_chars == 7 and by[None].near_next == 0
+    assert fingerprint_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_spotsigs_near_classes(spark):
     text = "the quick brown fox jumps over a lazy dog and it runs to the green hill of many stones in summer for joy"
     rows = [(1, text), (2, text), (3, text + " again"), (4, "nothing of this kind is in the other texts here"), (5, None)]

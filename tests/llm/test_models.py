@@ -163,3 +163,10 @@ def test_nearest_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_by_length_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 1, 2, 3), (0, [1.0, 0.0], 1, 2, 3), (1, [2.0, 1.0], 1, 2, 3), (1, [3.0, 1.0], 1, 2, 3), (2, [1.0], 1, 2, 3), (20, [4.0], 1, 2, 3), (None, [9.0], 1, 2, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d int, stripe int, rows int")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 2.0), (20, 1, 2, 4.0)]
