@@ -7,7 +7,8 @@ inverts the Poisson distribution at a uniform number taken from an MD5 of
 no exponential underflows.  Counts depend on the row alone: no task needs
 another's rows, and a lost one is redone alike.  Documents are exploded by their
 counts and dealt out by range over a second hash, a global shuffle in the
-statistical sense: the order of `mix_key` is that of a uniform permutation.
+statistical sense: the order of `mix_key` is that of a uniform permutation.  A document without doc_id is
+drawn as "null".
 
 Defined results: a null source is a source of its own; a source without weight
 is left out (mean 0); with no weights given every source has the same.  Weights
@@ -21,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import written
+
 #: Largest mean drawn at once, and terms of its inverse (mass beyond: < 1e-20).
 PART = 8.0
 TERMS = 48
+#: Sources up to which their means are broadcast.
+SOURCES = 100_000
 
 
 def _uniform(key: Column) -> Column:
@@ -38,8 +43,9 @@ def poisson_count(mean: Column, key: Column) -> Column:
 
     def draw(i: Column) -> Column:
         u = _uniform(F.concat_ws(":", key, i.cast("string")))
-        start = F.struct(F.exp(-each).alias("p"), F.exp(-each).alias("c"), F.lit(0).alias("k"))
-        step = lambda s, j: F.struct((s["p"] * each / j).alias("p"), (s["c"] + s["p"] * each / j).alias("c"), (s["k"] + F.when(u >= s["c"], 1).otherwise(0)).alias("k"))
+        # u stands in the start value, so that it is hashed once a part.
+        start = F.struct(F.exp(-each).alias("p"), F.exp(-each).alias("c"), F.lit(0).alias("k"), u.alias("u"))
+        step = lambda s, j: F.struct((s["p"] * each / j).alias("p"), (s["c"] + s["p"] * each / j).alias("c"), (s["k"] + F.when(s["u"] >= s["c"], 1).otherwise(0)).alias("k"), s["u"].alias("u"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["k"])
 
     return F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, x: a + x)
@@ -57,15 +63,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         n = n.join(given, F.col("of").eqNullSafe(F.col("given")))
     else:
         n = n.withColumn("weight", F.lit(1.0))
-    total = n.agg(F.sum("weight").alias("weights"))
-    every = rows.agg(F.count("*").alias("every"))
-    # One row a source, and 1 x 1 totals: all of them bounded by the number of sources.
-    means = n.crossJoin(total).crossJoin(every).select("of", (F.col("weight") * F.col("every") / (F.col("weights") * F.col("n"))).alias("mean"))
+    n = written(n.select("of", "n", "weight"))
+    totals = n.agg(F.sum("weight").alias("weights"), F.count("*").alias("sources")).first()
+    every = rows.count() if weights is not None else n.agg(F.sum("n")).first()[0]
+    means = n.select("of", (F.col("weight") * F.lit(every or 0) / (F.lit(totals.weights or 1.0) * F.col("n"))).alias("mean"))
+    # One row a source: joined on the spot if they are few, else by source.
+    means = F.broadcast(means) if totals.sources <= SOURCES else means
     key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id, F.lit("null")))
     counts = rows.join(means, source.eqNullSafe(F.col("of"))).select("row", poisson_count(F.col("mean"), key).alias("copies")).filter("copies > 0")
     copies = counts.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", key, F.lit("order"), F.col("mix_copy").cast("string"))))
-    return copies.select("row.*", "mix_copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    # Keys are uniform, so ranges of equal width hold equal shares; nothing is sampled for their bounds.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    return copies.select("row.*", "mix_copy", "mix_key").repartitionById(parts, part).sortWithinPartitions("mix_key")
 
 
 def mix_sql(seed: str = "mix") -> str:
