@@ -13,9 +13,13 @@ Every block of queries meets every block of candidates, so recall is 1 but for
 double rounding.  Queries are a stated share of the rows; a tile's size bounds a
 task's memory, and each task sends at most k rows per query on.
 
-Defined results: vectors that are null, empty, zero, of another length than the
-most common one, or that hold null or non-finite components take no part, neither
-as query nor as candidate.  Ties go to the smaller vec_id.  Repeated vec_ids stay
+Tiles are held as int8 beside the originals in their own type, and cast for the product
+alone.  A stripe of candidates is sized by bytes; each of its queries' blocks is copied
+to it, so what is shuffled grows with queries times bytes over `STRIPE`.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite
+components take no part, neither as query nor as candidate.  Vectors of different
+lengths have no inner product: a query meets candidates of its own length.  Ties go to the smaller vec_id.  Repeated vec_ids stay
 separate candidates, but no row with the query's own vec_id is one; repeated
 queries are answered once.  Other columns are not read.
 """
@@ -32,10 +36,14 @@ from pyspark.sql import functions as F
 
 from .frames import in_groups, written
 
+#: Least stripes of the candidates of one length.
+LEAST = 8
+#: Distinct lengths of vectors up to which their counts are broadcast.
+LENGTHS = 10_000
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
-#: Candidates that a task holds, about.
-STRIPE = 32768
+#: Bytes of candidates that a task holds, about: originals and their int8 codes.
+STRIPE = 1 << 26
 _EXACT = 1040  # 127**2 * d < 2**24
 
 
@@ -49,36 +57,34 @@ def usable(vector: str = "embedding") -> Column:
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scale = np.abs(x).max(axis=1) / 127
     scale = np.where(scale > 0, scale, 1.0)
-    q = np.rint(x / scale[:, None])
-    return q, scale, np.abs(x).sum(axis=1)
+    return np.rint(x / scale[:, None]).astype(np.int8), scale, np.abs(x).sum(axis=1)
 
 
-def _blocks(df: DataFrame, size: int, d: int, dtype: type, name: str) -> DataFrame:
-    """(name, ids, rows): packed blocks of at most `size` vectors."""
+def _blocks(df: DataFrame, size: int, dtype: type) -> DataFrame:
+    """(block, d, ids, rows): packed blocks of at most `size` vectors of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(part).combine_chunks()
-            ids = t.column("vec_id").to_numpy().astype(np.int64)
-            x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
-            return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "rows"])
+        def out(d: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(d), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["d", "ids", "rows"])
 
-        held, n = [], 0
+        held: dict[int, list] = {}
         for batch in batches:
-            a = 0
-            while a < batch.num_rows:
-                part = batch.slice(a, size - n)
-                held.append(part)
-                n += part.num_rows
-                a += part.num_rows
-                if n == size:
-                    yield out(held)
-                    held, n = [], 0
-        if n:
-            yield out(held)
-
-    packed = df.mapInArrow(run, "ids binary, rows binary")
-    return packed.withColumn(name, F.monotonically_increasing_id())
+            ids, lists = batch.column(0).to_numpy().astype(np.int64), batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+            lens = np.diff(lists.offsets.to_numpy())
+            first = np.cumsum(lens) - lens
+            for d in np.unique(lens).tolist():
+                at = np.flatnonzero(lens == d)
+                for a in range(0, len(at), size):
+                    part = at[a : a + size]
+                    held.setdefault(d, []).append((ids[part], flat[(first[part][:, None] + np.arange(d)).ravel()]))
+                    if sum(len(i) for i, _ in held[d]) >= size:
+                        yield out(d)
+        for d in list(held):
+            yield out(d)
+
+    return df.mapInArrow(run, "d int, ids binary, rows binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
@@ -86,18 +92,20 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     dtype = np.float32 if single else np.float64
     rows = vectors.filter(usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"), asks.alias("asks")).filter("vec_id is not null")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d, n = (sizes["d"], sizes["count"]) if sizes else (1, 0)
-    rows = rows.filter(F.size("v") == d)
-    queries = written(_blocks(rows.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "v"), QUERY_BLOCK, d, dtype, "block"))
-    candidates = _blocks(rows.select("vec_id", "v"), CANDIDATE_BLOCK, d, dtype, "block")
-    stripes = max(8, -(-n // STRIPE))
-    dealt = queries.select(F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(1).alias("side"), "ids", "rows")
-    striped = candidates.select(F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("stripe"), F.lit(0).alias("side"), "ids", "rows")
-    exact = np.float32 if d <= _EXACT else np.float64
+    # Queries once, packed and written; their blocks go to each stripe of candidates of their length.
+    queries = written(_blocks(rows.filter("asks").dropDuplicates(["vec_id"]).select("vec_id", "v"), QUERY_BLOCK, dtype))
+    candidates = _blocks(rows.select("vec_id", "v"), CANDIDATE_BLOCK, dtype)
+    held = F.col("n") * F.col("of") * (np.dtype(dtype).itemsize + 1)
+    sizes = rows.groupBy(F.size("v").alias("of")).agg(F.count("*").alias("n")).select("of", F.greatest(F.lit(LEAST), F.ceil(held / STRIPE)).cast("int").alias("stripes"))
+    sizes = written(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= LENGTHS else sizes
+    dealt = queries.join(sizes, F.col("d") == F.col("of")).select("d", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe"), F.lit(1).alias("side"), "ids", "rows")
+    striped = candidates.join(sizes, F.col("d") == F.col("of")).select("d", F.pmod(F.xxhash64("block"), F.col("stripes")).cast("int").alias("stripe"), F.lit(0).alias("side"), "ids", "rows")
 
     def answer(ask: tuple, hold: list[tuple]) -> pa.RecordBatch:
         ids, x, q, s, l1 = ask
+        d = x.shape[1]
+        exact = np.float32 if d <= _EXACT else np.float64
         best: list[list] = [[] for _ in ids]
         floor = np.full(len(ids), -np.inf)
         q8 = q.astype(exact)
@@ -112,7 +120,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
             a, b = np.nonzero(other & (near + slack >= floor[:, None]))
             score = np.zeros(len(a))
             for j in range(d):  # one fixed order of summation, so that equal vectors tie
-                score += x[a, j] * y[b, j]
+                score += x[a, j].astype(np.float64) * y[b, j]
             for i, v, w in zip(a.tolist(), score.tolist(), c_ids[b].tolist(), strict=True):
                 h = best[i]
                 if len(h) < k:
@@ -128,14 +136,14 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A stripe's candidates come first and are held; its queries stream past them."""
-        stripe, hold = None, []
+        last, hold = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(batch.schema.get_field_index(n))[i].as_py() for n in ("stripe", "side", "ids", "rows")}
-                if r["stripe"] != stripe:
-                    stripe, hold = r["stripe"], []
-                x = np.frombuffer(r["rows"], dtype=dtype).reshape(-1, d).astype(np.float64)
-                block = (np.frombuffer(r["ids"], dtype=np.int64), x, *_quantise(x))
+                r = {n: batch.column(batch.schema.get_field_index(n))[i].as_py() for n in ("d", "stripe", "side", "ids", "rows")}
+                if (r["d"], r["stripe"]) != last:
+                    last, hold = (r["d"], r["stripe"]), []
+                x = np.frombuffer(r["rows"], dtype=dtype).reshape(-1, r["d"])
+                block = (np.frombuffer(r["ids"], dtype=np.int64), x, *_quantise(x.astype(np.float64)))
                 if not r["side"]:
                     hold.append(block)
                 elif hold:
@@ -146,7 +154,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
         n = len(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([table.column("query_id")[0].as_py()] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array([v for _, v in pairs], pa.int64()), pa.array([-s for s, _ in pairs], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
 
-    both = dealt.unionByName(striped).repartition("stripe").sortWithinPartitions("stripe", "side")
+    both = dealt.unionByName(striped).repartition("d", "stripe").sortWithinPartitions("d", "stripe", "side")
     found = both.mapInArrow(tiles, "query_id long, score double, vec_id long")
     return in_groups(found, ["query_id"], merge, "query_id long, rank int, vec_id long, score double")
 
