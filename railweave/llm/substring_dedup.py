@@ -10,13 +10,14 @@ a count-min sketch; the merged counters overestimate in how many texts an anchor
 lies.  The sketch's length follows the amount of text up to `SKETCH_LIMIT`
 bytes, beyond which it lets more windows through but still loses none.  Second
 pass: windows whose anchor is estimated to lie in two texts or more are grouped
-exactly by their 64-bit hash under their anchor's, for the smallest doc_id.
+by 96 bits, their own hash and half of their anchor's, for the smallest doc_id.
 Chunks of a partition settle repeats among their own texts, so a passage that a
 third of all texts hold reaches its group once per chunk.
 
 Defined results: null and wordless texts have no words and keep none; texts
 shorter than a window stay whole.  Windows that repeat within one text only stay.
-Rows that share a doc_id count as one text for "smaller".  Columns other than
+Rows that share a doc_id count as one text for "smaller", but each loses only its own
+words.  Rows without doc_id lose nothing and take nothing.  Columns other than
 doc_id and text pass through strip_repeats() untouched.
 """
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fresh, in_groups
@@ -116,23 +117,33 @@ def _sketch(docs: DataFrame, width: int, length: int) -> np.ndarray:
     return out
 
 
-def _ranges(doc: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
+def _ranges(text: np.ndarray, at: np.ndarray, docs: np.ndarray, rows: np.ndarray, width: int) -> pa.RecordBatch:
     """Window starts of texts, by text and start, as ranges of covered words."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    cut = np.ones(len(doc), dtype=bool)
-    cut[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > width)
+    order = np.lexsort((at, text))
+    text, at = text[order], at[order]
+    cut = np.ones(len(text), dtype=bool)
+    cut[1:] = (text[1:] != text[:-1]) | (at[1:] - at[:-1] > width)
     first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + width).astype(np.int32))], names=["doc_id", "a", "b"])
+    last = np.append(first[1:], len(text)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(docs[text[first]]), pa.array(rows[text[first]]), pa.array(at[first].astype(np.int32)), pa.array((at[last] + width).astype(np.int32))], names=["doc_id", "row", "a", "b"])
 
 
-_RANGE = "doc_id long, a int, b int"
+_RANGE = "doc_id long, row long, a int, b int"
+_PACKED = {"hashes": np.uint64, "anchors": np.uint32, "texts": np.uint32, "starts": np.int32, "docs": np.int64, "rows": np.int64}
+
+
+def _least(hashes: np.ndarray, anchors: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and doc_id, and which windows in it start in their smallest doc_id."""
+    order = np.lexsort((doc, anchors, hashes))
+    h, k, d = hashes[order], anchors[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    return order, d == d[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, a, b): word ranges [a, b) to remove; ranges may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    """(doc_id, row, a, b): word ranges [a, b) to remove from the text of a doc_id whose hash is row; ranges may overlap."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")).filter("doc_id is not null")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     length = SKETCH_LEAST
     while length < SKETCH_LIMIT and length < chars // 12:
@@ -140,47 +151,40 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width, length))
     buckets = max(8, int(chars // 25_000_000))
 
-    def settle(ids: list, keys: list, hashes: list, starts: list) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
-        doc, key, h, at = (np.concatenate(x) for x in (ids, keys, hashes, starts))
-        order = np.lexsort((doc, h))
-        doc, key, h, at = doc[order], key[order], h[order], at[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        mine = doc == least
-        gone = _ranges(doc[~mine], at[~mine], width) if (~mine).any() else None
-        doc, key, h, at = doc[mine], key[mine], h[mine], at[mine]
-        b = (mix(key, 21) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        cut = np.searchsorted(b[order], np.arange(buckets + 1))
-        rows: dict[str, list] = {"bucket": [], "hashes": [], "docs": [], "starts": []}
-        for i in range(buckets):
-            pick = order[cut[i] : cut[i + 1]]
-            if len(pick):
-                rows["bucket"].append(i)
-                rows["hashes"].append(h[pick].tobytes())
-                rows["docs"].append(doc[pick].tobytes())
-                rows["starts"].append(at[pick].astype(np.int32).tobytes())
-        packed = pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("hashes", "docs", "starts"))], names=list(rows))
-        return packed, gone
+    def settle(held: dict[str, list]) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        x = {k: np.concatenate(v) for k, v in held.items()}
+        order, mine = _least(x["hashes"], x["anchors"], x["docs"][x["texts"]])
+        gone = _ranges(x["texts"][order[~mine]], x["starts"][order[~mine]], x["docs"], x["rows"], width) if not mine.all() else None
+        mine = order[mine]
+        b = (mix(x["anchors"][mine].astype(np.uint64), 21) % np.uint64(buckets)).astype(np.int64)
+        deal = np.argsort(b, kind="stable")
+        mine, cut = mine[deal], np.searchsorted(b[deal], np.arange(buckets + 1))
+        out: dict[str, list] = {"bucket": [], **{k: [] for k in _PACKED}}
+        for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            pick = mine[cut[i] : cut[i + 1]]
+            own, local = np.unique(x["texts"][pick], return_inverse=True)
+            part = {"hashes": x["hashes"][pick], "anchors": x["anchors"][pick], "texts": local, "starts": x["starts"][pick], "docs": x["docs"][own], "rows": x["rows"][own]}
+            out["bucket"].append(i)
+            for k, t in _PACKED.items():
+                out[k].append(part[k].astype(t).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in _PACKED)], names=list(out)), gone
 
     def emit(packed: pa.RecordBatch, gone: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
-        empty = lambda kind, n: pa.nulls(n, kind)
-        names = ["bucket", "hashes", "docs", "starts", "doc_id", "a", "b"]
+        names = ["bucket", *_PACKED, "doc_id", "row", "a", "b"]
         n = packed.num_rows
-        yield pa.RecordBatch.from_arrays([*packed.columns, empty(pa.int64(), n), empty(pa.int32(), n), empty(pa.int32(), n)], names=names)
+        yield pa.RecordBatch.from_arrays([*packed.columns, *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
         if gone is not None:
             # Settled ranges travel with the buckets, dealt by their text.
-            n = gone.num_rows
             b = pa.array((gone.column(0).to_numpy() % buckets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b, *(empty(pa.binary(), n) for _ in range(3)), *gone.columns], names=names)
+            yield pa.RecordBatch.from_arrays([b, *(pa.nulls(gone.num_rows, pa.binary()) for _ in _PACKED), *gone.columns], names=names)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
-        ids, keys, hashes, starts, size = [], [], [], [], 0
+        held: dict[str, list] = {k: [] for k in _PACKED}
+        size = known = 0
         for batch in batches:
             column = texts(batch)
-            doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            doc_ids, rows = (batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("doc_id", "row"))
             for a, b in slices(column):
                 w = Words(column.slice(a, b - a))
                 h, anchors, text, at = _windows(w, width)
@@ -191,37 +195,41 @@ def repeated_ranges(docs: DataFrame, width: int = 50) -> DataFrame:
                     slot += r * length
                     often &= ((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
                 if often.any():
-                    ids.append(doc_ids[a:b][text[often]])
-                    keys.append(anchors[often])
-                    hashes.append(h[often])
-                    starts.append(at[often] - w.first[text[often]])
-                    size += len(ids[-1])
+                    of = text[often]
+                    for k, v in (("hashes", h[often]), ("anchors", anchors[often].astype(np.uint32)), ("texts", of + known), ("starts", at[often] - w.first[of]), ("docs", doc_ids[a:b]), ("rows", rows[a:b])):
+                        held[k].append(v)
+                    size += len(of)
+                    known += b - a
                 if size > CHUNK:
-                    yield from emit(*settle(ids, keys, hashes, starts))
-                    ids, keys, hashes, starts, size = [], [], [], [], 0
+                    yield from emit(*settle(held))
+                    held, size, known = {k: [] for k in _PACKED}, 0, 0
         if size:
-            yield from emit(*settle(ids, keys, hashes, starts))
+            yield from emit(*settle(held))
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        known = table.filter(table.column("doc_id").is_valid()).select(["doc_id", "a", "b"]).combine_chunks()
+        known = table.filter(table.column("doc_id").is_valid()).select(["doc_id", "row", "a", "b"]).combine_chunks()
         yield from known.to_batches()
         held = table.filter(table.column("hashes").is_valid())
         if not held.num_rows:
             return
-        h, doc, at = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in held.column(k)]) for k, t in (("hashes", np.uint64), ("docs", np.int64), ("starts", np.int32)))
-        order = np.lexsort((doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = doc != least
-        if gone.any():
-            yield _ranges(doc[gone], at[gone].astype(np.int64), width)
-
-    chosen = docs.mapInArrow(select, f"bucket int, hashes binary, docs binary, starts binary, {_RANGE}")
+        parts = {k: [np.frombuffer(v.as_buffer(), dtype=t) for v in held.column(k)] for k, t in _PACKED.items()}
+        base = np.cumsum([0, *map(len, parts["docs"][:-1])])
+        parts["texts"] = [t + int(b) for t, b in zip((t.astype(np.int64) for t in parts["texts"]), base, strict=True)]
+        x = {k: np.concatenate(v) for k, v in parts.items()}
+        order, mine = _least(x["hashes"], x["anchors"], x["docs"][x["texts"]])
+        if not mine.all():
+            gone = order[~mine]
+            yield _ranges(x["texts"][gone], x["starts"][gone].astype(np.int64), x["docs"], x["rows"], width)
+
+    chosen = docs.mapInArrow(select, "bucket int, " + ", ".join(f"{k} binary" for k in _PACKED) + f", {_RANGE}")
     return in_groups(chosen, ["bucket"], group, _RANGE)
 
 
+def row_key() -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _cut(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
     """Of each row: number of words, which of them stay, and the words."""
     column = texts(batch)
@@ -240,9 +248,9 @@ def _cut(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[int, np.ndarray,
 
 def _with_ranges(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """docs with the ranges to remove in a column of the name that is returned."""
-    key, ranges = fresh("gone_id", docs.columns), fresh("gone", docs.columns)
-    found = repeated_ranges(docs, width).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(ranges))
-    return docs.join(found, docs["doc_id"] == found[key], "left").drop(key), ranges
+    key, row, ranges = (fresh(c, docs.columns) for c in ("gone_id", "gone_row", "gone"))
+    found = repeated_ranges(docs, width).groupBy(F.col("doc_id").alias(key), F.col("row").alias(row)).agg(F.collect_set(F.struct("a", "b")).alias(ranges))
+    return docs.join(found, (docs["doc_id"] == found[key]) & (row_key() == found[row]), "left").drop(key, row), ranges
 
 
 def substring_digest(docs: DataFrame, width: int = 50) -> DataFrame:
