@@ -690,3 +690,6 @@ def duplicate_trips(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earliest_visit(spark, sf_dir)
+
+
+from . import checks  # noqa: E402, F401  (registers its queries; needs the names above)

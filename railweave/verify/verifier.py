@@ -9,6 +9,7 @@ resolved makes the place unknown for the next one.  The result is a table of
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,7 +265,16 @@ def final_rules(rows: DataFrame, legs: DataFrame, ctx: Context) -> tuple[DataFra
 
 
 def verify(itineraries: DataFrame, ctx: Context) -> tuple[DataFrame, DataFrame]:
-    """(violations, outcome) of itineraries(itinerary_id, json)."""
+    """(violations, outcome) of itineraries(itinerary_id, json).
+
+    Under a zone that nobody knows, no time can be read: each itinerary gets that one code.
+    """
+    try:
+        ZoneInfo(ctx.zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        none = F.lit(None)
+        stopped = itineraries.select("itinerary_id", none.cast("int").alias("leg"), F.lit("FEED_TIMEZONE").alias("code"), F.lit(f"no such time zone: {ctx.zone}").alias("message"))
+        return stopped, itineraries.select("itinerary_id", none.cast("long").alias("duration_s"), F.lit(0).cast("long").alias("stations_visited"))
     rows = parse(itineraries, ctx)
     legs = written(resolved(rows, ctx))
     ends, outcome = final_rules(rows, legs, ctx)

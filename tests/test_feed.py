@@ -10,49 +10,49 @@ from railweave.rules import Include, Rules, Selection, parse_clock, read_rules,
 from railweave.sources.tables import load_feed
 from railweave.sources.zipfeed import Archive, Limits
 from railweave.synth import feed_zip
-from tests.feeds import MINIMAL, minimal_zip
+from tests.feeds import PIER, pier_zip
 
 
-def test_minimal_feed_and_profile(spark):
-    feed = load_feed(spark, minimal_zip(folder="gtfs/"))
+def test_pier_feed_and_profile(spark):
+    feed = load_feed(spark, pier_zip(folder="gtfs/"))
     assert feed.tables["stops"].count() == 4 and feed.tables["stop_times"].count() == 2
     got = {(r.metric, r.key): r.value for r in profile(feed).collect()}
-    assert got["valid_from", ""] == "2026-10-01" and got["valid_to", ""] == "2026-12-11"
+    assert got["valid_from", ""] == "2027-03-01" and got["valid_to", ""] == "2027-04-10"
     assert got["trips", ""] == "1" and got["hierarchy_depth", ""] == "1" and got["orphan_stops", ""] == "0"
-    assert got["trips_by_type", "1"] == "1" and got["files", "transfers.txt"] == "missing"
+    assert got["trips_by_type", "0"] == "1" and got["files", "transfers.txt"] == "missing"
 
 
 def test_values_and_references(spark):
-    feed = load_feed(spark, minimal_zip({
-        "trips.txt": "route_id,service_id,trip_id\nR,WD,T1\nX,WD,T2\n",
-        "stop_times.txt": "﻿trip_id,arrival_time,departure_time,stop_id,stop_sequence\nT1,24:05:30,24:06:00,S2a,30\nT1, 23:55:00 ,,S1a,10\nT1,,,S1a,20\nT9,08:00:00,08:00:00,S1a,1\nT1,08:00:00,08:00:00,ZZ,40\n",
-        "frequencies.txt": "trip_id,start_time,end_time,headway_secs\nT1,06:00:00,07:00:00,1200\n",
+    feed = load_feed(spark, pier_zip({
+        "trips.txt": "route_id,service_id,trip_id\nP,daily,run\nX,daily,stray\n",
+        "stop_times.txt": "﻿trip_id,arrival_time,departure_time,stop_id,stop_sequence\nrun,24:05:30,24:06:00,west:a,30\nrun, 23:55:00 ,,east:a,10\nrun,,,east:a,20\nlost,08:00:00,08:00:00,east:a,1\nrun,08:00:00,08:00:00,nowhere,40\n",
+        "frequencies.txt": "trip_id,start_time,end_time,headway_secs\nrun,06:00:00,07:00:00,1200\n",
     }))
     w = feed.warnings
     assert (w["trips_unknown_route"], w["stop_times_unknown_trip"], w["stop_times_unknown_stop"], w["interpolated"]) == (1, 1, 1, 1)
     rows = {(r.trip_id, r.seq): (r.arrival, r.departure) for r in feed.tables["stop_times"].collect()}
-    assert rows["T1", 10] == (86100, 86100) and rows["T1", 30] == (86730, 86760) and rows["T1", 20] == (86415, 86415)
-    assert rows["T1@06:20:00", 10] == (22800, 22800) and len(rows) == 12
+    assert rows["run", 10] == (86100, 86100) and rows["run", 30] == (86730, 86760) and rows["run", 20] == (86415, 86415)
+    assert rows["run@06:20:00", 10] == (22800, 22800) and len(rows) == 12
 
 
 @pytest.mark.parametrize("name,text,where", [
-    ("stops.txt", MINIMAL["stops.txt"] + "S1,Again,1,1,0,\n", 6),
-    ("stops.txt", MINIMAL["stops.txt"] + "S9,Far,91,1,0,\n", 6),
-    ("stops.txt", MINIMAL["stops.txt"].replace("stop_id,", "id,"), 1),
-    ("stop_times.txt", MINIMAL["stop_times.txt"] + "T1,8:99:00,,S1a,3\n", 4),
-    ("stop_times.txt", MINIMAL["stop_times.txt"] + "T1,09:00:00,09:00:00,S1a,2\n", 4),
-    ("calendar.txt", MINIMAL["calendar.txt"].replace("WD,1", "WD,2"), 2),
-    ("frequencies.txt", "trip_id,start_time,end_time,headway_secs\nT1,07:00:00,06:00:00,60\n", 2),
-    ("transfers.txt", "from_stop_id,to_stop_id,transfer_type,min_transfer_time\nS1a,S2a,2,-1\n", 2),
+    ("stops.txt", PIER["stops.txt"] + "east,Again,1,1,0,\n", 6),
+    ("stops.txt", PIER["stops.txt"] + "far,Far,91,1,0,\n", 6),
+    ("stops.txt", PIER["stops.txt"].replace("stop_id,", "id,"), 1),
+    ("stop_times.txt", PIER["stop_times.txt"] + "run,8:99:00,,east:a,9\n", 4),
+    ("stop_times.txt", PIER["stop_times.txt"] + "run,14:00:00,14:00:00,east:a,8\n", 4),
+    ("calendar.txt", PIER["calendar.txt"].replace("daily,1", "daily,2"), 2),
+    ("frequencies.txt", "trip_id,start_time,end_time,headway_secs\nrun,07:00:00,06:00:00,60\n", 2),
+    ("transfers.txt", "from_stop_id,to_stop_id,transfer_type,min_transfer_time\neast:a,west:a,2,-1\n", 2),
 ])
 def test_errors_name_the_line(spark, name, text, where):
     with pytest.raises(FeedError) as e:
-        load_feed(spark, minimal_zip({name: text}))
+        load_feed(spark, pier_zip({name: text}))
     assert e.value.file == name and e.value.line == where
 
 
 def test_limits_and_archives():
-    data = minimal_zip()
+    data = pier_zip()
     for limits in (Limits(compressed=100), Limits(entries=3), Limits(uncompressed=100), Limits(line=20), Limits(rows=1)):
         with pytest.raises(LimitError):
             a = Archive(data, limits)
@@ -95,7 +95,7 @@ def test_overrides():
 
 
 def test_packs(spark, tmp_path):
-    feed = load_feed(spark, minimal_zip())
+    feed = load_feed(spark, pier_zip())
     path = f"file://{tmp_path}/pack"
     header = write(feed.tables, path)
     back = read(spark, path)
