@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lens
+from .frames import written
 from .functions import clock, geo, names
 from .operators import calendar as cal
 from .operators import chains as ch
@@ -331,14 +332,16 @@ links AS (SELECT "from", "to", metres, greatest({RULES.min_transfer_s.walk_link}
 METRO = Selection("metro", (Include(route_types=(1,)),))
 
 
-def lens_targets(spark: SparkSession, sf_dir: str, selection: Selection = METRO) -> DataFrame:
-    calls = lens.calls(spark, sf_dir)
+def lens_targets(spark: SparkSession, sf_dir: str, selection: Selection = METRO, calls: DataFrame | None = None) -> DataFrame:
+    calls = lens.calls(spark, sf_dir) if calls is None else calls
     routes = calls.select("route_id", "route_type").distinct().withColumn("agency_id", F.lit("A")).withColumn("route_short_name", F.concat(F.lit("R"), F.col("route_id").cast("string")))
     return sel.select_targets(calls.select("station", "route_id", "pickup_type", "drop_off_type"), routes, lens.stations(spark), selection)
 
 
 def lens_network(spark: SparkSession, sf_dir: str) -> nw.Network:
-    return nw.build(lens.calls(spark, sf_dir), lens.stations(spark), lens_targets(spark, sf_dir), RULES, VISITS)
+    # One day's calls are read by most steps of the build, so they are computed once.
+    calls = written(lens.calls(spark, sf_dir))
+    return nw.build(calls, lens.stations(spark), lens_targets(spark, sf_dir, calls=calls), RULES, VISITS)
 
 
 @query(f"WITH {NET_SQL} SELECT station FROM targets")
@@ -579,10 +582,11 @@ def _bundle(spark: SparkSession, sf_dir: str):
 
 @query()
 def profile_pairs(spark, sf_dir):
+    from .plans.kernel import Bundle
     from .plans.tours import profiles
 
     n = lens_network(spark, sf_dir)
-    b = _bundle(spark, sf_dir)
+    b = Bundle.of(n)
     return rounds.profile_pairs(profiles(spark, b, b.targets), n.footpaths)
 
 
@@ -645,7 +649,7 @@ def bracket_check(spark, sf_dir):
     exact = best.seconds if best else n.window[1] - n.window[0]
     tour = best_run(greedy_runs(greedy_jobs(spark, b.targets, list(range(0, 24 * 3600, 7200))), b)).first()
     static, profile = static_bound(n, b.targets, exact), profile_bound(spark, b, exact)
-    return spark.createDataFrame([(static is None or static <= exact, profile is None or profile <= exact, tour is None or tour.seconds >= exact)], "static_holds boolean, profile_holds boolean, greedy_holds boolean")
+    return spark.createDataFrame([(best is not None and static is not None and static <= exact, profile is not None and profile <= exact, tour is not None and tour.seconds >= exact)], "static_holds boolean, profile_holds boolean, greedy_holds boolean")
 
 
 # ---- feed profile on the lens ---------------------------------------------------------
