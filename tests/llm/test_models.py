@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from railweave.llm.language import CLASSES, ORDER, language_query, table
 from railweave.llm.neighbours import nearest
 from railweave.llm.page_text import main_text, page_texts
 from railweave.llm.pieces import MODEL, Pieces, decode_ids, encode_texts
-from railweave.llm.toxicity import toxicity_query
+from railweave.llm.toxicity import FACTORS, SLOTS, Machine, _terms, fit, toxicity_query
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -36,6 +37,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_machine_learns_pairs_whose_members_say_nothing():
+    """Toxic is one of two words without the other: neither word alone shifts the odds."""
+    rng = np.random.default_rng(3)
+    n, noise = 4000, 200
+    a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+    texts_ = [[*(["insult"] * int(x)), *(["mention"] * int(y)), *(f"w{k}" for k in rng.choice(noise, 12))] for x, y in zip(a, b, strict=True)]
+    doc, slot = _terms(pa.array([" ".join(t) for t in texts_]))
+    label = (a == b).astype(float)
+    machine = fit(doc[doc < 3000], slot[doc < 3000], label[:3000], rounds=30)
+    p = machine.scores(doc[doc >= 3000] - 3000, slot[doc >= 3000], 1000)
+    assert ((p >= 0.5) == (label[3000:] > 0)).mean() > 0.97
+
+
+def test_machine_scores_by_its_formula():
+    rng = np.random.default_rng(7)
+    feature = np.full(SLOTS, -1, dtype=np.int32)
+    feature[:5] = np.arange(5)
+    machine = Machine(feature, 0.3, rng.normal(size=5), rng.normal(size=(5, FACTORS)))
+    texts_ = [[0, 1, 4], [2, 9], [], [0, 1, 2, 3, 4]]
+    got = machine.scores(np.repeat(np.arange(4), [len(t) for t in texts_]), np.array([x for t in texts_ for x in t]), 4)
+    for t, p in zip(texts_, got, strict=True):
+        t = [x for x in t if x < 5]
+        y = 0.3 + sum(machine.w[i] for i in t) + sum(machine.v[i] @ machine.v[j] for k, i in enumerate(t) for j in t[k + 1 :])
+        assert p == pytest.approx(1 / (1 + math.exp(-y)))
+
+
 def test_language_tables_are_probabilities():
     p = np.exp2(-table([b"abra cadabra", "größe ça".encode()])).reshape(CLASSES**ORDER, CLASSES)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
