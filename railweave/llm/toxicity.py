@@ -9,7 +9,8 @@ Training is bounded: at most `SAMPLE` labelled texts, those with the least hash
 of their doc_id, outside the held-out share.  Of their slots, the `TERMS` with
 the strongest evidence (z score of the log odds) become features.  So do both members
 of pairs that say together what neither says alone: among the `PAIRED` most frequent
-slots, pairs whose log odds lie `PAIR_Z` standard errors off what the members' add up to.
+slots, pairs whose share of toxic texts lies `PAIR_Z` standard errors off what the
+members' log odds add up to, and as many off either member's own.
 Every other slot is left out of the model.  Weights are fitted with mini-batches and AdaGrad from a fixed seed, so equal input gives
 equal scores.  Scoring is one pass over all texts; the model (under 1 MB) is
 broadcast.
@@ -37,7 +38,7 @@ TERMS = 4096
 FACTORS = 4
 #: Slots whose pairs are looked at, and how clear a pair must be.
 PAIRED = 768
-PAIR_Z = 6.0
+PAIR_Z = 12.0
 THRESHOLD = 0.3
 
 
@@ -88,12 +89,13 @@ def _paired(doc: np.ndarray, slot: np.ndarray, label: np.ndarray, df: np.ndarray
         both += x.T @ x
         y = x[: max(0, min(2048, n - 2048 * k))][label[2048 * k : 2048 * (k + 1)] > 0]
         hit += y.T @ y
-    miss = both - hit
     base = np.log(pos / (n - pos))
-    # Of two independent terms, the log odds of texts with both are the sum of what each shifts.
-    single = np.log((np.diag(hit) + 0.5) / (np.diag(miss) + 0.5)) - base
-    pair = np.log((hit + 0.5) / (miss + 0.5)) - base
-    z = np.abs(pair - single[:, None] - single[None, :]) / np.sqrt(1 / (hit + 0.5) + 1 / (miss + 0.5))
+    # If two terms add up, the log odds of texts with both are the sum of what each shifts.
+    single = np.log((np.diag(hit) + 0.5) / (np.diag(both - hit) + 0.5)) - base
+    p = 1 / (1 + np.exp(-np.clip(base + single[:, None] + single[None, :], -30, 30)))
+    # Words that mostly come together do not add up either; the pair must also differ from each member.
+    own = np.diag(hit) / np.diag(both)
+    z = np.minimum.reduce([np.abs(hit - both * q) / np.sqrt(both * q * (1 - q) + 1) for q in (p, own[:, None], own[None, :])])
     z[both < 20] = 0
     np.fill_diagonal(z, 0)
     return often[(z > PAIR_Z).any(axis=1)]
