@@ -103,7 +103,8 @@ def in_runs(df: DataFrame) -> DataFrame:
     above = F.broadcast(df.sparkSession.createDataFrame(above, "part int, next_part int, next_run long"))  # at most PARTS rows
     after = F.lead("run").over(Window.partitionBy("part").orderBy("run"))
     heads = heads.withColumn("after", after).join(above, "part")
-    heads = heads.select("doc_id", F.when(F.col("after").isNull(), F.col("next_part")).otherwise(F.col("part")).alias("part"), F.coalesce("after", "next_run").alias("run"))
+    # Written, so that its size is known before texts would be shuffled for the join.
+    heads = written(heads.select("doc_id", F.when(F.col("after").isNull(), F.col("next_part")).otherwise(F.col("part")).alias("part"), F.coalesce("after", "next_run").alias("run")))
     copies = df.join(heads, "doc_id").select(*df.columns, "part", "run", F.lit(True).alias("copy"))
     return rows.withColumn("copy", F.lit(False)).unionByName(copies)
 
