@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_dhid
 from ..sources.tables import Feed
-from .calendar import service_range, validity
+from .calendar import active_on, validity
 from .network import backwards_trips
 from .stations import parent_roots
 
@@ -31,11 +31,11 @@ def orphan_stops(stops: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def idle_trips(trips: DataFrame, feed: Feed) -> DataFrame:
-    """Trips whose service never runs within the feed's validity."""
-    span = service_range(feed.tables["calendar"], feed.tables["calendar_dates"])
-    valid = validity(feed.tables["calendar"], feed.tables["calendar_dates"], feed.tables["feed_info"])
-    runs = span.crossJoin(valid).filter(F.col("first") <= F.col("end")).filter(F.col("last") >= F.col("start"))
-    return trips.join(runs.select("service_id"), "service_id", "left_anti").select("trip_id")
+    """Trips whose service runs on no day of the feed's validity."""
+    calendar, exceptions = feed.tables["calendar"], feed.tables["calendar_dates"]
+    valid = validity(calendar, exceptions, feed.tables["feed_info"])
+    days = valid.filter("start <= end").select(F.explode(F.sequence("start", "end")).alias("date"))
+    return trips.join(active_on(calendar, exceptions, days).select("service_id").distinct(), "service_id", "left_anti").select("trip_id")
 
 
 def profile(feed: Feed) -> DataFrame:

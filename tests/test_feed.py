@@ -22,6 +22,18 @@ def test_pier_feed_and_profile(spark):
     assert got["trips_by_type", "0"] == "1" and got["files", "transfers.txt"] == "missing"
 
 
+def test_trips_without_a_running_day(spark):
+    # The span of "never" covers the feed's validity, but its only days are taken out.
+    feed = load_feed(spark, pier_zip({
+        "trips.txt": PIER["trips.txt"] + "P,never,ghost,West Pier\n",
+        "stop_times.txt": PIER["stop_times.txt"] + "ghost,14:10:00,14:10:00,east:a,4\nghost,14:22:00,14:22:00,west:a,8\n",
+        "calendar.txt": PIER["calendar.txt"] + "never,0,0,0,0,0,0,1,20270307,20270314\n",
+        "calendar_dates.txt": "service_id,date,exception_type\nnever,20270307,2\nnever,20270314,2\n",
+    }))
+    got = {(r.metric, r.key): r.value for r in profile(feed).collect()}
+    assert got["trips", ""] == "2" and got["trips_without_service_days", ""] == "1"
+
+
 def test_values_and_references(spark):
     feed = load_feed(spark, pier_zip({
         "trips.txt": "route_id,service_id,trip_id\nP,daily,run\nX,daily,stray\n",
