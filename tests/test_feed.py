@@ -1,5 +1,6 @@
 import pytest
 
+from railweave.catalog import orphan_refs
 from railweave.errors import FeedError, LimitError, OverrideError, RulesError
 from railweave.operators.calendar import day_offset, day_origin
 from railweave.operators.profile import profile
@@ -34,6 +35,13 @@ def test_trips_without_a_running_day(spark):
     assert got["trips", ""] == "2" and got["trips_without_service_days", ""] == "1"
 
 
+def test_orphan_references_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (1, 2), (9, 2), (10, 7), (10, 8)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (10,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1,), (7,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.what: r.n for r in orphan_refs(spark, str(tmp_path)).collect()} == {"unknown order": 1, "unknown part": 3}
+
+
 def test_values_and_references(spark):
     feed = load_feed(spark, pier_zip({
         "trips.txt": "route_id,service_id,trip_id\nP,daily,run\nX,daily,stray\n",
