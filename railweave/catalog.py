@@ -248,6 +248,61 @@ def orphan_refs(spark, sf_dir):
     return a.union(line.join(part, "l_partkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown part"), "n"))
 
 
+# ---- a feed with flaws, loaded from its zip ------------------------------------
+
+FLAWED = {
+    "agency": Fixture("agency_id string, agency_name string, agency_url string, agency_timezone string", [("f", "Ferry", "https://ferry.example", "Europe/Lisbon")]),
+    "stops": Fixture("stop_id string, stop_name string, stop_lat string, stop_lon string, location_type string, parent_station string", [("dock", "Dock", "38.70", "-9.15", "1", ""), ("dock/1", "Dock 1", "38.70", "-9.15", "0", "dock"), ("pier/1", "Pier 1", "38.71", "-9.16", "0", "gone"), ("cove", "Cove", "", "", "", "")]),
+    "routes": Fixture("route_id string, route_short_name string, route_type string", [("F", "F1", "4"), ("B", "B1", "3")]),
+    "trips": Fixture("route_id string, service_id string, trip_id string", [("F", "all", "a"), ("F", "all", "b"), ("B", "all", "c"), ("B", "all", "bare"), ("X", "all", "lost")]),
+    "stop_times": Fixture("trip_id string, arrival_time string, departure_time string, stop_id string, stop_sequence string", [("a", "08:00:00", "08:00:00", "dock/1", "1"), ("a", "", "", "pier/1", "2"), ("a", "08:40:00", "", "cove", "3"), ("a", "", "", "dock/1", "4"), ("a", "09:00:00", "09:00:00", "nowhere", "9"), ("b", "", "", "dock/1", "1"), ("b", "", "25:10:00", "pier/1", "2"), ("c", "", "", "dock/1", "1"), ("c", "", "", "cove", "2"), ("lost", "08:00:00", "08:00:00", "cove", "1"), ("ghost", "08:00:00", "08:00:00", "cove", "1")]),
+    "calendar": Fixture("service_id string, monday string, tuesday string, wednesday string, thursday string, friday string, saturday string, sunday string, start_date string, end_date string", [("all", "1", "1", "1", "1", "1", "1", "1", "20270301", "20270331")]),
+    "calendar_dates": Fixture("service_id string, date string, exception_type string", [("all", "20270402", "1"), ("all", "20270302", "2"), ("all", "20270303", "7")]),
+    "frequencies": Fixture("trip_id string, start_time string, end_time string, headway_secs string", [("b", "06:00:00", "07:00:00", "1200"), ("nobody", "06:00:00", "07:00:00", "600")]),
+    "transfers": Fixture("from_stop_id string, to_stop_id string, transfer_type string, min_transfer_time string", [("dock/1", "pier/1", "2", "90"), ("dock/1", "gone", "0", ""), ("dock/1", "cove", "9", ""), ("cove", "dock/1", "2", ""), ("cove", "pier/1", "", "")]),
+}
+
+
+def flawed_zip() -> bytes:
+    from .samples import feed_zip
+
+    return feed_zip({f"{name}.txt": "\n".join(",".join(r) for r in [tuple(c.split()[0] for c in f.schema.split(", ")), *f.rows]) + "\n" for name, f in FLAWED.items()})
+
+
+_FLAWED_SQL = ", ".join(f.sql(name) for name, f in FLAWED.items()) + """,
+good_trips AS (SELECT * FROM trips WHERE route_id IN (SELECT route_id FROM routes)),
+good_calls AS (SELECT *, CAST(stop_sequence AS INTEGER) AS seq, arrival_time <> '' OR departure_time <> '' AS timed FROM stop_times WHERE trip_id IN (SELECT trip_id FROM good_trips) AND stop_id IN (SELECT stop_id FROM stops)),
+untimed AS (SELECT EXISTS (SELECT 1 FROM good_calls x WHERE x.trip_id = c.trip_id AND x.timed AND x.seq < c.seq) AND EXISTS (SELECT 1 FROM good_calls x WHERE x.trip_id = c.trip_id AND x.timed AND x.seq > c.seq) AS inner_ FROM good_calls c WHERE NOT timed)"""
+
+
+@query(f"""WITH {_FLAWED_SQL}
+SELECT 'unknown_parent' AS warning, count(*) AS n FROM stops WHERE parent_station <> '' AND parent_station NOT IN (SELECT stop_id FROM stops)
+UNION ALL SELECT 'trips_unknown_route', count(*) FROM trips WHERE route_id NOT IN (SELECT route_id FROM routes)
+UNION ALL SELECT 'trips_without_stop_times', count(*) FROM good_trips WHERE trip_id NOT IN (SELECT trip_id FROM good_calls)
+UNION ALL SELECT 'bad_exception_type', count(*) FROM calendar_dates WHERE exception_type NOT IN ('1', '2')
+UNION ALL SELECT 'stop_times_unknown_trip', count(*) FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM good_trips)
+UNION ALL SELECT 'stop_times_unknown_stop', count(*) FROM stop_times WHERE trip_id IN (SELECT trip_id FROM good_trips) AND stop_id NOT IN (SELECT stop_id FROM stops)
+UNION ALL SELECT 'filled_time', count(*) FROM good_calls WHERE (arrival_time = '') <> (departure_time = '')
+UNION ALL SELECT 'interpolated', count(*) FROM untimed WHERE inner_
+UNION ALL SELECT 'missing_time', count(*) FROM untimed WHERE NOT inner_
+UNION ALL SELECT 'frequencies_unknown_trip', count(*) FROM frequencies WHERE trip_id NOT IN (SELECT trip_id FROM good_trips)
+UNION ALL SELECT 'transfers_skipped', count(*) FROM transfers WHERE from_stop_id NOT IN (SELECT stop_id FROM stops) OR to_stop_id NOT IN (SELECT stop_id FROM stops) OR (transfer_type <> '' AND CAST(transfer_type AS INTEGER) NOT BETWEEN 0 AND 5) OR (transfer_type = '2' AND min_transfer_time = '')""")
+def load_warning_counts(spark, sf_dir):
+    """What loading the flawed feed counts."""
+    from .sources.tables import load_feed
+
+    found = load_feed(spark, flawed_zip()).warnings
+    return spark.createDataFrame(sorted(found.items()), "warning string, n long")
+
+
+@query(f"WITH {lens.CALLS_SQL} SELECT DISTINCT route_type AS low, route_type AS high FROM lens_calls WHERE route_id IN (4, 7) UNION SELECT 1, 1")
+def visit_types(spark, sf_dir):
+    """Route types that visit: those of two routes chosen by name, and one named itself."""
+    routes = lens.calls(spark, sf_dir, None).select("route_id", "route_type").distinct().withColumn("agency_id", F.lit("A")).withColumn("route_short_name", F.concat(F.lit("R"), F.col("route_id").cast("string")))
+    ranges = sel.visit_route_types(routes, Selection("some", (Include(routes=("R4", "R7")),), visit_route_types=(1,)))
+    return spark.createDataFrame(ranges, "low int, high int")
+
+
 # ---- calendars ---------------------------------------------------------------
 
 CAL = Fixture("service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date date, end_date date, file_order int", [("WD", 1, 1, 1, 1, 1, 0, 0, "2026-10-01", "2026-12-13", 1), ("WE", 0, 0, 0, 0, 0, 1, 1, "2026-10-01", "2026-12-13", 2), ("DUP", 1, 1, 1, 1, 1, 1, 1, "2026-10-01", "2026-10-10", 3), ("DUP", 0, 0, 0, 0, 0, 0, 1, "2026-11-01", "2026-11-30", 4), ("BIG", 1, 0, 0, 0, 0, 0, 0, "0001-01-01", "9999-12-31", 5)])

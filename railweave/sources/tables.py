@@ -121,6 +121,17 @@ def complete_times(calls: DataFrame) -> DataFrame:
     return rows.select(*[c for c in calls.columns if c not in ("arrival", "departure")], F.coalesce("arr", filled).alias("arrival"), F.coalesce("dep", filled).alias("departure"))
 
 
+def time_counts(calls: DataFrame) -> dict[str, int]:
+    """How many rows complete_times() fills from their other time, from timed neighbours, or with 0."""
+    w = Window.partitionBy("trip_id")
+    timed = F.coalesce("arrival", "departure").isNotNull()
+    at = F.when(timed, F.col("seq"))
+    rows = calls.select(F.col("arrival").isNull().alias("no_arr"), F.col("departure").isNull().alias("no_dep"), F.coalesce(F.col("seq").between(F.min(at).over(w), F.max(at).over(w)), F.lit(False)).alias("inner"))
+    untimed = F.col("no_arr") & F.col("no_dep")
+    found = rows.agg(F.count_if(F.col("no_arr") != F.col("no_dep")).alias("filled_time"), F.count_if(untimed & F.col("inner")).alias("interpolated"), F.count_if(untimed & ~F.col("inner")).alias("missing_time")).first()
+    return found.asDict()
+
+
 def overlapping_frequencies(freq: DataFrame) -> DataFrame:
     """(trip_id, start) of rows that start before the row before them ends."""
     before = F.lag("end").over(Window.partitionBy("trip_id").orderBy("start"))
@@ -217,7 +228,8 @@ def load_feed(spark: SparkSession, data: bytes, limits: Limits | None = None) ->
     dist = _number("shape_dist_traveled", "double")
     calls = calls.select("trip_id", "stop_id", F.col("stop_sequence").alias("seq"), F.col("arrival_time").alias("arrival"), F.col("departure_time").alias("departure"), "pickup_type", "drop_off_type", F.when(~F.isnan(dist), dist).alias("dist"), "line")
     _once(calls, ["trip_id", "seq"], "stop_times.txt")
-    warn["interpolated"] = calls.filter("arrival is null and departure is null").count()
+    warn |= time_counts(calls)
+    warn["trips_without_stop_times"] = trips.join(calls, "trip_id", "left_anti").count()
     calls = complete_times(calls).drop("line", "dist")
 
     freq = raw["frequencies.txt"]

@@ -50,6 +50,7 @@ def test_values_and_references(spark):
     }))
     w = feed.warnings
     assert (w["trips_unknown_route"], w["stop_times_unknown_trip"], w["stop_times_unknown_stop"], w["interpolated"]) == (1, 1, 1, 1)
+    assert (w["filled_time"], w["missing_time"], w["trips_without_stop_times"]) == (1, 0, 0)
     rows = {(r.trip_id, r.seq): (r.arrival, r.departure) for r in feed.tables["stop_times"].collect()}
     assert rows["run", 10] == (86100, 86100) and rows["run", 30] == (86730, 86760) and rows["run", 20] == (86415, 86415)
     assert rows["run@06:20:00", 10] == (22800, 22800) and len(rows) == 12
