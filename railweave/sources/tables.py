@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,45 +59,54 @@ def _none(c: str) -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
 
-def _refuse(df: DataFrame, bad: Column, file: str, reason: str) -> None:
-    """An error for the first row that is bad."""
-    row = df.filter(bad).select("line").orderBy("line").first()
-    if row:
-        raise FeedError(file, row.line, reason)
+def _number(c: str, kind: str) -> Column:
+    return F.col(c).try_cast(kind)
 
 
-def _once(df: DataFrame, keys: list[str], file: str) -> None:
-    row = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max("line").alias("line")).filter("n > 1").orderBy("line").first()
-    if row:
-        raise FeedError(file, row.line, f"{', '.join(keys)} occurs twice")
+class Checks:
+    """Checks of rows, looked at together in one job."""
 
+    def __init__(self):
+        self.asked: list[tuple[str, str, DataFrame]] = []
 
-def _number(c: str, kind: str) -> Column:
-    return F.col(c).try_cast(kind)
+    def refuse(self, df: DataFrame, bad: Column, file: str, reason: str) -> None:
+        """An error for the first row that is bad."""
+        self.asked.append((file, reason, df.filter(bad).agg(F.min("line").alias("line"))))
 
+    def once(self, df: DataFrame, keys: list[str], file: str) -> None:
+        twice = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max("line").alias("line")).filter("n > 1")
+        self.asked.append((file, f"{', '.join(keys)} occurs twice", twice.agg(F.min("line").alias("line"))))
 
-def _checked(df: DataFrame, c: str, kind: str, low: float, high: float, file: str, default: float | None = None) -> DataFrame:
-    """Column c as a number in [low, high]; empty is the default (an error if none)."""
-    v = _number(c, kind)
-    bad = (F.col(c) != "") & (v.isNull() | ~v.between(low, high))
-    if default is None:
-        bad = bad | (F.col(c) == "")
-    _refuse(df, bad, file, f"bad {c}")
-    return df.withColumn(c, F.coalesce(v, F.lit(default).cast(kind)))
+    def number(self, df: DataFrame, c: str, kind: str, low: float, high: float, file: str, default: float | None = None) -> DataFrame:
+        """Column c as a number in [low, high]; empty is the default (an error if none)."""
+        v = _number(c, kind)
+        bad = (F.col(c) != "") & (v.isNull() | ~v.between(low, high))
+        if default is None:
+            bad = bad | (F.col(c) == "")
+        self.refuse(df, bad, file, f"bad {c}")
+        return df.withColumn(c, F.coalesce(v, F.lit(default).cast(kind)))
 
+    def time(self, df: DataFrame, c: str, file: str, required: bool = False) -> DataFrame:
+        return self._parsed(df, c, parse_time(F.col(c)), file, required)
 
-def _time(df: DataFrame, c: str, file: str, required: bool = False) -> DataFrame:
-    v = parse_time(F.col(c))
-    bad = (F.col(c) != "") & v.isNull()
-    _refuse(df, bad | (F.col(c) == "") if required else bad, file, f"bad {c}")
-    return df.withColumn(c, v)
+    def date(self, df: DataFrame, c: str, file: str, required: bool = True) -> DataFrame:
+        return self._parsed(df, c, parse_date(F.col(c)), file, required)
 
+    def _parsed(self, df: DataFrame, c: str, v: Column, file: str, required: bool) -> DataFrame:
+        bad = (F.col(c) != "") & v.isNull()
+        self.refuse(df, bad | (F.col(c) == "") if required else bad, file, f"bad {c}")
+        return df.withColumn(c, v)
 
-def _date(df: DataFrame, c: str, file: str, required: bool = True) -> DataFrame:
-    v = parse_date(F.col(c))
-    bad = (F.col(c) != "") & v.isNull()
-    _refuse(df, bad | (F.col(c) == "") if required else bad, file, f"bad {c}")
-    return df.withColumn(c, v)
+    def run(self) -> None:
+        """Raises what the first check asked for found, if any found something."""
+        asked, self.asked = self.asked, []
+        if not asked:
+            return
+        found = reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("i"), "line") for i, (_, _, df) in enumerate(asked)])
+        rows = sorted((r.i, r.line) for r in found.filter("line is not null").collect())
+        if rows:
+            i, line = rows[0]
+            raise FeedError(asked[i][0], line, asked[i][1])
 
 
 def complete_times(calls: DataFrame) -> DataFrame:
@@ -165,12 +175,13 @@ def load_feed(spark: SparkSession, data: bytes, limits: Limits | None = None) ->
         df, sizes[name] = raw_table(spark, archive, name)
         raw[name] = df.cache()
     empty = sorted(n for n in archive.members if n.endswith(".txt") and next(iter(archive.rows(n)), None) is None)
-    warn: dict[str, int] = {}
+    lost: dict[str, DataFrame] = {}
+    checks = Checks()
     t: dict[str, DataFrame] = {}
 
     info = raw["feed_info.txt"].orderBy("file_order").limit(1)
     for c in ("feed_start_date", "feed_end_date"):
-        info = _date(info, c, "feed_info.txt", False)
+        info = checks.date(info, c, "feed_info.txt", False)
     t["feed_info"], t["agency"] = info, raw["agency.txt"]
     zones = [r.agency_timezone for r in raw["agency.txt"].orderBy("file_order").collect()]
     if not zones:
@@ -181,65 +192,67 @@ def load_feed(spark: SparkSession, data: bytes, limits: Limits | None = None) ->
         raise FeedError("agency.txt", 2, f"unknown time zone {zones[0]!r}") from e
 
     stops = raw["stops.txt"]
-    _refuse(stops, F.col("stop_id") == "", "stops.txt", "empty stop_id")
-    _once(stops, ["stop_id"], "stops.txt")
+    checks.refuse(stops, F.col("stop_id") == "", "stops.txt", "empty stop_id")
+    checks.once(stops, ["stop_id"], "stops.txt")
     for c, top in (("stop_lat", 90), ("stop_lon", 180)):
         v = _number(c, "double")
-        _refuse(stops, (F.col(c) != "") & (v.isNull() | F.isnan(v) | (F.abs(v) > top)), "stops.txt", f"bad {c}")
+        checks.refuse(stops, (F.col(c) != "") & (v.isNull() | F.isnan(v) | (F.abs(v) > top)), "stops.txt", f"bad {c}")
         stops = stops.withColumn(c, v)
-    stops = _checked(stops, "location_type", "int", 0, 4, "stops.txt", 0)
+    stops = checks.number(stops, "location_type", "int", 0, 4, "stops.txt", 0)
     stops = stops.withColumn("stop_idx", F.col("file_order"))
     known = stops.select(F.col("stop_id").alias("parent_station"))
-    warn["unknown_parent"] = stops.filter("parent_station <> ''").join(known, "parent_station", "left_anti").count()
+    lost["unknown_parent"] = stops.filter("parent_station <> ''").join(known, "parent_station", "left_anti")
     t["stops"] = stops
 
-    routes = _checked(raw["routes.txt"], "route_type", "int", 0, 65_535, "routes.txt")
-    _once(routes, ["route_id"], "routes.txt")
+    routes = checks.number(raw["routes.txt"], "route_type", "int", 0, 65_535, "routes.txt")
+    checks.once(routes, ["route_id"], "routes.txt")
     t["routes"] = routes
 
     trips = raw["trips.txt"]
-    _once(trips, ["trip_id"], "trips.txt")
-    _refuse(trips, ~F.col("direction_id").isin("", "0", "1"), "trips.txt", "bad direction_id")
-    warn["trips_unknown_route"] = trips.join(routes, "route_id", "left_anti").count()
+    checks.once(trips, ["trip_id"], "trips.txt")
+    checks.refuse(trips, ~F.col("direction_id").isin("", "0", "1"), "trips.txt", "bad direction_id")
+    lost["trips_unknown_route"] = trips.join(routes, "route_id", "left_anti")
     trips = trips.join(routes.select("route_id"), "route_id", "left_semi").withColumn("block_id", _none("block_id"))
     t["trips"] = trips
 
     calendar = raw["calendar.txt"]
     for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"):
-        _refuse(calendar, ~F.col(d).isin("0", "1"), "calendar.txt", f"bad {d}")
-        calendar = calendar.withColumn(d, F.col(d).cast("int"))
+        checks.refuse(calendar, ~F.col(d).isin("0", "1"), "calendar.txt", f"bad {d}")
+        calendar = calendar.withColumn(d, _number(d, "int"))
     for c in ("start_date", "end_date"):
-        calendar = _date(calendar, c, "calendar.txt")
+        calendar = checks.date(calendar, c, "calendar.txt")
     t["calendar"] = calendar
-    dates = _date(raw["calendar_dates.txt"], "date", "calendar_dates.txt")
-    warn["bad_exception_type"] = dates.filter(~F.col("exception_type").isin("1", "2")).count()
+    dates = checks.date(raw["calendar_dates.txt"], "date", "calendar_dates.txt")
+    lost["bad_exception_type"] = dates.filter(~F.col("exception_type").isin("1", "2"))
     t["calendar_dates"] = dates.filter(F.col("exception_type").isin("1", "2")).withColumn("exception_type", F.col("exception_type").cast("int"))
 
     calls = raw["stop_times.txt"]
-    warn["stop_times_unknown_trip"] = calls.join(trips, "trip_id", "left_anti").count()
+    lost["stop_times_unknown_trip"] = calls.join(trips, "trip_id", "left_anti")
     calls = calls.join(trips.select("trip_id"), "trip_id", "left_semi")
-    warn["stop_times_unknown_stop"] = calls.join(stops, "stop_id", "left_anti").count()
+    lost["stop_times_unknown_stop"] = calls.join(stops, "stop_id", "left_anti")
     calls = calls.join(stops.select("stop_id"), "stop_id", "left_semi")
-    calls = _checked(calls, "stop_sequence", "int", 0, 2**31 - 1, "stop_times.txt")
+    calls = checks.number(calls, "stop_sequence", "int", 0, 2**31 - 1, "stop_times.txt")
     for c in ("pickup_type", "drop_off_type"):
-        calls = _checked(calls, c, "int", 0, 3, "stop_times.txt", 0)
+        calls = checks.number(calls, c, "int", 0, 3, "stop_times.txt", 0)
     for c in ("arrival_time", "departure_time"):
-        calls = _time(calls, c, "stop_times.txt")
+        calls = checks.time(calls, c, "stop_times.txt")
     dist = _number("shape_dist_traveled", "double")
     calls = calls.select("trip_id", "stop_id", F.col("stop_sequence").alias("seq"), F.col("arrival_time").alias("arrival"), F.col("departure_time").alias("departure"), "pickup_type", "drop_off_type", F.when(~F.isnan(dist), dist).alias("dist"), "line")
-    _once(calls, ["trip_id", "seq"], "stop_times.txt")
-    warn |= time_counts(calls)
-    warn["trips_without_stop_times"] = trips.join(calls, "trip_id", "left_anti").count()
+    checks.once(calls, ["trip_id", "seq"], "stop_times.txt")
+    untimed = calls
+    lost["trips_without_stop_times"] = trips.join(calls, "trip_id", "left_anti")
     calls = complete_times(calls).drop("line", "dist")
 
     freq = raw["frequencies.txt"]
-    warn["frequencies_unknown_trip"] = freq.join(trips, "trip_id", "left_anti").count()
+    lost["frequencies_unknown_trip"] = freq.join(trips, "trip_id", "left_anti")
     freq = freq.join(trips.select("trip_id"), "trip_id", "left_semi")
     for c in ("start_time", "end_time"):
-        freq = _time(freq, c, "frequencies.txt", True)
-    freq = _checked(freq, "headway_secs", "int", 1, 2**31 - 1, "frequencies.txt")
-    _refuse(freq, F.col("end_time") <= F.col("start_time"), "frequencies.txt", "ends before it starts")
+        freq = checks.time(freq, c, "frequencies.txt", True)
+    freq = checks.number(freq, "headway_secs", "int", 1, 2**31 - 1, "frequencies.txt")
+    checks.refuse(freq, F.col("end_time") <= F.col("start_time"), "frequencies.txt", "ends before it starts")
     freq = freq.select("trip_id", F.col("start_time").alias("start"), F.col("end_time").alias("end"), F.col("headway_secs").alias("headway"), "exact_times", "line")
+    # What follows computes with the values checked so far.
+    checks.run()
     if overlapping_frequencies(freq).limit(1).count():
         raise FeedError("frequencies.txt", None, "headways overlap")
     t["frequencies"] = freq
@@ -257,7 +270,7 @@ def load_feed(spark: SparkSession, data: bytes, limits: Limits | None = None) ->
     moves = raw["transfers.txt"]
     kind, least = _number("transfer_type", "int"), _number("min_transfer_time", "int")
     kind = F.when(F.col("transfer_type") == "", 0).otherwise(kind)
-    _refuse(moves, (F.col("min_transfer_time") != "") & (least.isNull() | (least < 0)), "transfers.txt", "bad min_transfer_time")
+    checks.refuse(moves, (F.col("min_transfer_time") != "") & (least.isNull() | (least < 0)), "transfers.txt", "bad min_transfer_time")
     bad = kind.isNull() | ~kind.between(0, 5) | ((kind == 2) & least.isNull())
     for c, ids, key in (("stop", stops, "stop_id"), ("route", routes, "route_id"), ("trip", trips, "trip_id")):
         for side in ("from", "to"):
@@ -265,8 +278,11 @@ def load_feed(spark: SparkSession, data: bytes, limits: Limits | None = None) ->
             moves = moves.join(ids.select(F.col(key).alias(f"known_{col}")).distinct(), F.col(col) == F.col(f"known_{col}"), "left")
             bad = bad | ((F.col(col) != "") & F.col(f"known_{col}").isNull())
     moves = moves.withColumn("bad", bad)
-    warn["transfers_skipped"] = moves.filter("bad").count()
+    lost["transfers_skipped"] = moves.filter("bad")
     t["transfers"] = moves.filter("not bad").select("file_order", *(_none(f"{s}_{c}_id").alias(f"{s}_{c}_id") for c in ("stop", "route", "trip") for s in ("from", "to")), kind.alias("transfer_type"), least.alias("min_transfer_time"))
+    checks.run()
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("warning"), "n") for k, df in lost.items()])
+    warn = {r.warning: r.n for r in counts.collect()} | time_counts(untimed)
     return Feed(t, warn, zones[0], sorted(n for n in archive.members if n.endswith(".txt")), empty)
 
 
