@@ -428,7 +428,7 @@ def unserved_targets(spark, sf_dir):
 BACK = Fixture("trip_id string, seq int, arrival int, departure int", [("A", 1, 0, 10), ("A", 2, 5, 20), ("B", 1, 10, 5), ("B", 2, 20, 20), ("C", 1, 0, 0), ("C", 2, 0, 0)])
 
 
-@query("SELECT * FROM (VALUES ('A'), ('B')) t(trip_id)")
+@query(f"WITH {BACK.sql('c')} SELECT trip_id FROM c WHERE departure < arrival UNION SELECT x.trip_id FROM c x JOIN c y ON y.trip_id = x.trip_id AND y.seq = (SELECT min(z.seq) FROM c z WHERE z.trip_id = x.trip_id AND z.seq > x.seq) WHERE y.arrival < x.departure")
 def backwards_trips(spark, sf_dir):
     return nw.backwards_trips(BACK.frame(spark))
 
@@ -468,7 +468,13 @@ CHANGES = Fixture("change int, from_stop string, from_parent string, to_stop str
 MOVES = Fixture("file_order int, from_stop_id string, to_stop_id string, from_route_id string, to_route_id string, from_trip_id string, to_trip_id string, transfer_type int, min_transfer_time int", [(1, "A", "B", None, None, None, None, 2, 300), (2, "a1", "b1", None, None, None, None, 2, 200), (3, "A", "B", "R1", None, None, None, 2, 100), (4, "a1", "b1", None, None, "T1", "T2", 3, None), (5, "A", "B", "R3", "R2", None, None, 0, None), (6, "x", "y", None, None, None, None, 1, None)])
 
 
-@query("SELECT * FROM (VALUES (1, 4, 1, 3, NULL), (2, 5, 4, 0, NULL), (3, 1, 6, 2, 300)) t(change, file_order, rank, transfer_type, min_transfer_time)")
+@query(f"""WITH {CHANGES.sql('c')}, {MOVES.sql('m')},
+fits AS (SELECT change, file_order, transfer_type, min_transfer_time, CAST(from_stop_id <> from_stop AS INTEGER) + CAST(to_stop_id <> to_stop AS INTEGER) AS wide,
+    CAST(from_trip_id IS NOT NULL AS INTEGER) + CAST(to_trip_id IS NOT NULL AS INTEGER) AS trips, CAST(from_route_id IS NOT NULL AS INTEGER) + CAST(to_route_id IS NOT NULL AS INTEGER) AS routes
+    FROM c JOIN m ON (from_stop_id = from_stop OR from_stop_id = from_parent) AND (to_stop_id = to_stop OR to_stop_id = to_parent)
+    WHERE coalesce(from_route_id = from_route, true) AND coalesce(to_route_id = to_route, true) AND coalesce(from_trip_id = from_trip, true) AND coalesce(to_trip_id = to_trip, true)),
+ranked AS (SELECT *, CAST(CASE WHEN trips = 2 THEN 1 WHEN trips = 1 AND routes > 0 THEN 2 WHEN trips = 1 THEN 3 WHEN routes = 2 THEN 4 WHEN routes = 1 THEN 5 ELSE 6 END AS INTEGER) AS rank FROM fits)
+SELECT change, file_order, rank, transfer_type, min_transfer_time FROM ranked QUALIFY row_number() OVER (PARTITION BY change ORDER BY rank, wide, file_order) = 1""")
 def transfer_specificity(spark, sf_dir):
     return ch.decisive_transfers(CHANGES.frame(spark), MOVES.frame(spark))
 
