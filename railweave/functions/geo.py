@@ -27,6 +27,12 @@ def cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / F.lit(size)).cast("long")
 
 
+def lon_cell(lon: Column, row: Column, size: float) -> Column:
+    """Cell of a longitude; cells widen with the latitude of their row of cells."""
+    top = F.least(F.lit(89.9), (F.abs(row) + 2) * size)
+    return F.floor(lon / (F.lit(size) / F.cos(F.radians(top)))).cast("long")
+
+
 def neighbours(c: Column) -> Column:
     """A row for the cell and one for each cell beside it."""
     return F.explode(F.array(c - 1, c, c + 1))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NetworkError
-from ..functions.geo import METRES_PER_DEGREE, cell, haversine, neighbours, walk_duration
+from ..functions.geo import METRES_PER_DEGREE, cell, haversine, lon_cell, neighbours, walk_duration
 from ..functions.names import in_ranges
 from ..rules import Rules
 
@@ -86,17 +86,11 @@ def walk_links(stations: DataFrame, metres: float, detour: float, kmh: float, le
         return stations.select(F.col("station").alias("from"), F.col("station").alias("to"), F.lit(0.0).alias("metres"), F.lit(0).alias("duration")).limit(0)
     size = metres / METRES_PER_DEGREE * 1.01
     placed = stations.filter("lat is not null and lon is not null")
-    # Longitude cells widen with the latitude of their row of cells.
     row = cell(F.col("lat"), size)
-
-    def wide(r: Column) -> Column:
-        top = F.least(F.lit(89.9), (F.abs(r) + 2) * size)
-        return F.lit(size) / F.cos(F.radians(top))
-
     a = placed.select(F.col("station").alias("from"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), row.alias("r0")).withColumn("r", neighbours(F.col("r0")))
-    a = a.withColumn("c", neighbours(F.floor(F.col("lon1") / wide(F.col("r"))).cast("long")))
+    a = a.withColumn("c", neighbours(lon_cell(F.col("lon1"), F.col("r"), size)))
     b = placed.select(F.col("station").alias("to"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row.alias("r"))
-    b = b.withColumn("c", F.floor(F.col("lon2") / wide(F.col("r"))).cast("long"))
+    b = b.withColumn("c", lon_cell(F.col("lon2"), F.col("r"), size))
     found = a.join(b, ["r", "c"]).filter(F.col("from") != F.col("to"))
     d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     found = found.withColumn("metres", d).filter(F.col("metres") <= metres)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import OverrideError
 from ..frames import components, written
-from ..functions.geo import METRES_PER_DEGREE, cell, haversine, neighbours
+from ..functions.geo import METRES_PER_DEGREE, cell, haversine, lon_cell, neighbours
 from ..functions.names import dhid_prefix, normalise_name
 
 LEVELS = 8
@@ -44,7 +44,9 @@ def same_name_pairs(places: DataFrame, metres: float = SAME_NAME_M) -> DataFrame
     rows = places.filter("lat is not null and lon is not null and key <> ''")
     a = rows.select(F.col("idx").alias("a"), "key", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), neighbours(cell(F.col("lat"), size)).alias("row"))
     b = rows.select(F.col("idx").alias("b"), "key", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell(F.col("lat"), size).alias("row"))
-    near = a.join(b, ["key", "row"]).filter("a < b").filter(haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= metres)
+    a = a.withColumn("column", neighbours(lon_cell(F.col("lon1"), F.col("row"), size)))
+    b = b.withColumn("column", lon_cell(F.col("lon2"), F.col("row"), size))
+    near = a.join(b, ["key", "row", "column"]).filter("a < b").filter(haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= metres)
     return near.select("a", "b")
 
 
@@ -84,7 +86,9 @@ def ambiguous_pairs(stations: DataFrame, samples: int = SAMPLES) -> tuple[DataFr
     d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     far = a.join(b, F.col("a_key") == F.col("b_key")).filter("a < b").withColumn("metres", d).filter(F.col("metres") > FAR_NAMESAKE_M).withColumn("kind", F.lit("same name far apart"))
     size = NEAR_STRANGER_M / METRES_PER_DEGREE * 1.01
-    near = a.withColumn("row", neighbours(cell(F.col("lat1"), size))).join(b.withColumn("row", cell(F.col("lat2"), size)), "row").filter("a < b and a_key <> b_key").withColumn("metres", d).filter(F.col("metres") < NEAR_STRANGER_M).withColumn("kind", F.lit("different names close"))
+    west = a.withColumn("row", neighbours(cell(F.col("lat1"), size))).withColumn("column", neighbours(lon_cell(F.col("lon1"), F.col("row"), size)))
+    east = b.withColumn("row", cell(F.col("lat2"), size)).withColumn("column", lon_cell(F.col("lon2"), F.col("row"), size))
+    near = west.join(east, ["row", "column"]).filter("a < b and a_key <> b_key").withColumn("metres", d).filter(F.col("metres") < NEAR_STRANGER_M).withColumn("kind", F.lit("different names close"))
     cols = ["kind", "a_id", "b_id", "metres"]
     found = far.select(*cols).unionByName(near.select(*cols))
     return found.groupBy("kind").count(), found.orderBy("kind", "a_id", "b_id").limit(samples)
